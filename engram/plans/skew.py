@@ -3,13 +3,22 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A key is hot if it holds more than 1/HOT_SHARE of the left side; there can be at most HOT_SHARE such keys.
-HOT_SHARE = 1000
+#: A key is hot if it holds more than 1/HOT_SHARE of the left side and more than HOT_FLOOR rows; there can be at
+#: most HOT_SHARE such keys, and none where the left side has no more than HOT_FLOOR rows.
+HOT_SHARE, HOT_FLOOR = 1000, 100_000
 
 
-def hot_keys(left: DataFrame, key: str, rows: int, share: int = HOT_SHARE) -> DataFrame:
-    """The keys with more than rows/share rows. By counting there are at most `share` of them."""
-    return left.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > rows / share).select(key)
+def hot_from(rows: int) -> float:
+    """The number of rows above which a key is hot."""
+    return max(rows / HOT_SHARE, HOT_FLOOR)
+
+
+def hot_keys(counted: DataFrame, key: str, n: str, rows: int) -> DataFrame | None:
+    """The hot keys of a left side with that many rows, from its keys with their counts; None if there are none."""
+    if rows <= HOT_FLOOR:
+        return None
+    hot = counted.filter(F.col(n) > hot_from(rows)).select(key)
+    return None if hot.isEmpty() else hot
 
 
 def join_unique(left: DataFrame, right: DataFrame, key: str, hot: DataFrame | None, how: str = "left") -> DataFrame:
