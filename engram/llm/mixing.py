@@ -79,7 +79,7 @@ def mixture(records: DataFrame, key: str, source: str, tokens: str, targets: Dat
     for r in classed.groupBy("source", "halves").agg(F.sum("tokens").alias("n")).collect():  # at most sources * (HALVES + 1) rows
         sizes.setdefault(r["source"], {})[r["halves"]] = r["n"]
     planned = plan(sizes, goals, total)
-    rates = spark.createDataFrame([(s, c, m, z) for s, (z, c, m) in planned.items()], "source string, rate double, most int, wanted double")
+    rates = spark.createDataFrame([(s, float(c), m, float(z)) for s, (z, c, m) in planned.items()], "source string, rate double, most int, wanted double")
     expected = F.least(F.col("most").cast("double"), F.col("rate") * F.pow(F.lit(2.0), -F.col("halves")))
     base = classed.join(F.broadcast(rates), "source").withColumn("expected", expected).withColumn("whole", F.floor(F.col("expected") + 1e-9).cast("int"))
     u = (F.pmod(F.xxhash64("key", F.lit(SEED)), F.lit(1 << 50)).cast("double") + 0.5) / float(1 << 50)
@@ -99,7 +99,7 @@ def mixture(records: DataFrame, key: str, source: str, tokens: str, targets: Dat
                 lines[s] = (r["slice"], room[s])
                 open_.discard(s)
             room[s] -= r["n"]
-    cut = F.broadcast(spark.createDataFrame([(s, k, left) for s, (k, left) in lines.items()], "source string, cut int, room double"))
+    cut = F.broadcast(spark.createDataFrame([(s, k, float(left)) for s, (k, left) in lines.items()], "source string, cut int, room double"))
     placed = ranked.join(cut, "source")
     above = placed.filter("slice IS NULL OR slice <> cut").withColumn("copies", F.col("whole") + F.when(F.col("slice") < F.col("cut"), 1).otherwise(0))
     line = placed.filter("slice = cut")
