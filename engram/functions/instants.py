@@ -87,19 +87,20 @@ def add_utc_micros(df: DataFrame, text: str, zone: str, order: str, out: str = "
 
     zone: column with the zone id of the text's source, or null; order: column with YMD, DMY or MDY,
     how the source writes all-numeric dates. Null, empty and overlong texts give null; blanks around a
-    text do not count. Every row comes out once, with all its columns; helper columns begin with `_`.
-    The steps are separate projections, so that each field is computed once.
+    text do not count. Every row comes out once, with all its columns, whatever their names; one named `out` is
+    replaced. The steps are separate projections, so that each field is computed once: filter on the result behind
+    an aggregation or a written table, as a filter right behind it would be pushed down with a copy of every step.
     """
-    kept = df.columns
+    kept = [c for c in df.columns if c != out]
     t = F.trim(F.col(text))
-    df = df.withColumn("_t", F.when(F.length(t) <= 80, t))
+    df = df.select(F.struct(*kept).alias("_row"), F.when(F.length(t) <= 80, t).alias("_t"), F.col(zone).alias("_zone"), F.col(order).alias("_order"))
     fields = F.lit(None).cast("string")
     for pattern, names in reversed(PATTERNS):
         fields = F.when(F.col("_t").rlike(pattern), F.regexp_replace("_t", pattern, names)).otherwise(fields)
     df = df.withColumn("_part", F.split(fields, r"\|", 11))
     part = [F.col("_part")[k] for k in range(11)]
     number = lambda c: c.try_cast("int")
-    dated, dmy = F.startswith(part[0], F.lit("D")), F.col(order)
+    dated, dmy = F.startswith(part[0], F.lit("D")), F.col("_order")
     df = df.withColumns({
         "_y": number(F.regexp_replace(part[0], "D", "")),
         "_m": F.when(~dated, F.coalesce(number(part[1]), _lookup(MONTHS, F.lower(part[1])))).when(dmy == "DMY", number(part[2])).when(dmy == "MDY", number(part[1])),
@@ -120,10 +121,10 @@ def add_utc_micros(df: DataFrame, text: str, zone: str, order: str, out: str = "
         "_local": F.when(right_day, F.unix_date("_date").cast("long") * 86_400_000_000 + (F.col("_h") * 3600 + F.col("_min") * 60 + F.col("_s")).cast("long") * 1_000_000 + F.col("_fine")),
         "_oh": number(F.regexp_extract("_mark", offset, 2)),
         "_om": F.coalesce(number(F.regexp_extract("_mark", offset, 3)), F.lit(0)),
-        "_place": F.when(F.col("_mark") == "", F.col(zone)).when(F.col("_mark").isin(*ZONES), F.col("_mark")),
+        "_place": F.when(F.col("_mark") == "", F.col("_zone")).when(F.col("_mark").isin(*ZONES), F.col("_mark")),
     })
     by_offset = F.when(F.expr("_oh BETWEEN 0 AND 18 AND _om BETWEEN 0 AND 59"), (F.col("_oh") * 60 + F.col("_om")) * F.when(F.startswith("_mark", F.lit("-")), -1).otherwise(1))
     df = df.withColumn("_east", F.coalesce(by_offset, _lookup(ABBREVIATIONS, F.lower("_mark"))))
     df = wall_to_utc(df, "_local", "_place", "_wall")
     instant = F.coalesce(count_micros(F.col("_t")), F.when(F.col("_east").isNotNull(), F.col("_local") - F.col("_east").cast("long") * 60_000_000).otherwise(F.col("_wall")))
-    return df.withColumn(out, instant).select(*[F.col(f"`{c}`") for c in kept if c != out], out)
+    return df.select("_row.*", instant.alias(out))

@@ -19,10 +19,17 @@ GAP_US = 30 * 60 * 1_000_000
 
 
 def once_per_id(events: DataFrame, id_col: str, order: Sequence[str]) -> DataFrame:
-    """One row per id, the first by `order` (ties by the other columns); rows without an id all stay."""
+    """One row per id, the first by `order` (ties by the other columns); rows without an id all stay.
+
+    The minimum is combined before the shuffle, so an id repeated any number of times is no hot key. Map columns
+    are compared as their entries.
+    """
     names = [*order, *(c for c in events.columns if c not in order and c != id_col)]
-    kept = events.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(F.struct(*names)).alias("_first"))
-    return kept.select(id_col, "_first.*").unionByName(events.filter(F.col(id_col).isNull()))
+    maps = {f.name for f in events.schema.fields if f.dataType.typeName() == "map"}
+    flat = [F.map_entries(c).alias(c) if c in maps else F.col(c) for c in names]
+    back = [F.map_from_entries(F.col(f"_first.{c}")).alias(c) if c in maps else F.col(f"_first.{c}").alias(c) for c in names]
+    kept = events.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(F.struct(*flat)).alias("_first"))
+    return kept.select(id_col, *back).unionByName(events.filter(F.col(id_col).isNull()))
 
 
 def session_slots(events: DataFrame, key: str, us: str, gap_us: int = GAP_US) -> tuple[DataFrame, Scratch]:
