@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from engram.plans.lineage import Scratch
 
 SAMPLE, STAGES, WORDS, BEAM = 20_000, 8, 256, 4
-LOOK, CELLS, RERANK = 600, 4, 48
+LOOK, CELLS, RERANK = 600, 8, 160
 #: A first-code cell with more vectors than CROWD is divided by its second code. Blocks are of about BLOCK vectors.
 CROWD, BLOCK = 20_000, 4096
 
@@ -102,7 +102,8 @@ def matrix(column: pd.Series) -> np.ndarray:
 def top_similar(df: DataFrame, id_col: str, vector: str, k: int = 10, size: int = 64) -> DataFrame:
     """For each usable vector the k others with the highest cosine: id, other, cosine, place (1 is the nearest).
 
-    Ties go to the smaller id. Fewer than two usable vectors give no rows.
+    Of equal cosines the smaller id comes first; where more than RERANK vectors of a cell are equally near, which
+    of them come out is not fixed. Fewer than two usable vectors give no rows. Other columns are not read.
     """
     spark = df.sparkSession
     scratch = Scratch(spark)
