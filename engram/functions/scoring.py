@@ -29,7 +29,8 @@ def nearness(delta_s: Column) -> Column:
 
 
 def access_frequency(n: Column) -> Column:
-    return F.least(F.lit(1.0), F.log10(n + F.lit(1)) * 0.5)
+    """Grows with the logarithm of the number of accesses, at most 1; null counts as none."""
+    return F.least(F.lit(1.0), F.log10(F.coalesce(n, F.lit(0)) + F.lit(1)) * 0.5)
 
 
 def recency(age_s: Column) -> Column:

@@ -39,8 +39,8 @@ def keyword_score(text: Column, query: str) -> Column:
     terms = query.lower().split()
     every = words(text)
     hits = sum((F.size(F.filter(every, _equal(w))) for w in terms), F.lit(0))
-    share = F.when(F.size(every) > 0, hits / F.size(every))
-    return F.least(F.lit(1.0), share * F.when(F.contains(F.lower(text), F.lit(query.lower())), 1.5).otherwise(1.0))
+    share = hits / F.nullif(F.size(every), F.lit(0)) * F.when(F.contains(F.lower(text), F.lit(query.lower())), 1.5).otherwise(1.0)
+    return F.when(F.size(every) > 0, F.least(F.lit(1.0), share))
 
 
 def has_all_words(text: Column, query: str) -> Column:
