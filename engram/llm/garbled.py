@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from engram.plans.lineage import Scratch
 
-BUCKETS, SOURCES, ROUNDS, PRIOR = 1 << 18, 1024, 3, 0.002
+BUCKETS, SOURCES, ROUNDS, PRIOR, OPEN = 1 << 18, 1024, 6, 0.002, 0.3
 #: Log-odds lost for a run that a chain could not have made, and the floor and ceiling of one run's evidence.
 IMPOSSIBLE, CEILING = -12.0, 25.0
 #: A lost character under the chains that lose characters has this log-probability.
@@ -184,11 +184,11 @@ def _group(source, field) -> str:
     return f"{zlib.crc32(str(source).encode()) % SOURCES}:{field}"
 
 
-def _priors(shares: dict, group: str) -> np.ndarray:
-    """Log shares of the chains in a group, smoothed by PRIOR."""
+def _priors(shares: dict, group: str, prior: float = PRIOR) -> np.ndarray:
+    """Log shares of the chains in a group, smoothed by the prior."""
     n = len(CHAINS) - 1
-    start = np.full(len(CHAINS), PRIOR / n)
-    start[0] = 1 - PRIOR
+    start = np.full(len(CHAINS), prior / n)
+    start[0] = 1 - prior
     seen = shares.get(group)
     weight = 200.0
     return np.log(start if seen is None else (seen + weight * start) / (seen.sum() + weight))
@@ -214,7 +214,10 @@ def _estimate(lines: DataFrame, scratch: Scratch) -> tuple[dict, np.ndarray, np.
     for turn in range(ROUNDS + 1):
         known = scratch.spark.sparkContext.broadcast((shares, pairs, singles))
 
-        def count(batches: Iterator[pd.DataFrame], first: bool = turn == 0, known=known) -> Iterator[pd.DataFrame]:
+        # the first posteriors are open-minded, so that garbled lines stop passing for clean text; later ones go by the shares
+        prior = OPEN if turn == 1 else PRIOR
+
+        def count(batches: Iterator[pd.DataFrame], first: bool = turn == 0, known=known, prior: float = prior) -> Iterator[pd.DataFrame]:
             shares, pairs, singles = known.value
             model = Model(pairs, singles)
             two, one, groups = np.zeros(BUCKETS), np.zeros(65536), {}
@@ -226,9 +229,9 @@ def _estimate(lines: DataFrame, scratch: Scratch) -> tuple[dict, np.ndarray, np.
                         items = runs(line)
                         p = np.zeros(len(CHAINS))
                         p[0] = 1.0
-                        said = [(a + run + b, 0.02 if undo(run, "utf8>1252") or "�" in run else 1.0) for a, run, b, _ in items]
+                        said = [(a + run + b, 0.02 if undo(run, "utf8>1252") else 1.0) for a, run, b, _ in items]
                     else:
-                        p, items = posterior(line, _priors(shares, group), model)
+                        p, items = posterior(line, _priors(shares, group, prior), model)
                         best = CHAINS[int(p[1:-1].argmax()) + 1]
                         said = []
                         for a, run, b, cited in items:
@@ -240,10 +243,13 @@ def _estimate(lines: DataFrame, scratch: Scratch) -> tuple[dict, np.ndarray, np.
                         groups[group] += p
                     for text, w in said:
                         if w > 0.001:
+                            # a lost character is never clean text (a cited one is no evidence), so it is not learnt
                             for a, b in zip(text, text[1:]):
-                                two[pair(a, b)] += w
-                                one[ord(a) & 0xFFFF] += w
-                            one[ord(text[-1]) & 0xFFFF] += w
+                                if a != "�" and b != "�":
+                                    two[pair(a, b)] += w
+                                    one[ord(a) & 0xFFFF] += w
+                            if text[-1] != "�":
+                                one[ord(text[-1]) & 0xFFFF] += w
             rows = [("2", str(k), v) for k, v in zip(np.flatnonzero(two), two[two > 0])] + [("1", str(k), v) for k, v in zip(np.flatnonzero(one), one[one > 0])]
             rows += [(g, str(k), v) for g, p in groups.items() for k, v in enumerate(p) if v > 0]
             yield pd.DataFrame(rows, columns=["what", "at", "n"])
