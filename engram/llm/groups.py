@@ -33,13 +33,31 @@ def _hot(rows: DataFrame, key: str, size: int) -> DataFrame | None:
     return hot_keys(rows.groupBy(key).agg(F.count("*").alias("n")), key, "n", size)
 
 
+def _id(vertex: Column) -> Column:
+    return F.xxhash64(vertex)
+
+
+def _numbered(pairs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Vertices with a number each (node, id), and the pairs by number, each once with a < b.
+
+    The number is a hash, so pairs need no join to get theirs; that no two vertices share one is checked, and where two
+    do, the vertices themselves serve as numbers.
+    """
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    nodes = scratch.write(ends.withColumn("id", _id(F.col("node"))))
+    a, b = _id(F.col("a")), _id(F.col("b"))
+    if not nodes.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        nodes, a, b = nodes.withColumn("id", F.col("node")), F.col("a"), F.col("b")
+    return nodes, scratch.write(pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct())
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """One row per vertex of `pairs` (a, b): node, group; group is the smallest node linked to it, itself included.
 
     Null ends, loops and repeated pairs in either direction do no harm; no pairs give no rows.
     """
     scratch = Scratch(pairs.sparkSession)
-    edges = scratch.write(pairs.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    names, edges = _numbered(pairs.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("a", "b"), scratch)
     maps: list[DataFrame] = []
     while n := edges.count():
         turn = len(maps)
@@ -50,24 +68,22 @@ def components(pairs: DataFrame) -> DataFrame:
         maps.append(hooks)
         hot = hot_keys(hooks, "node", "links", 2 * n)  # links are a vertex's rows among both ends of all edges
         to = hooks.select("node", "hook")
+        moved = edges
         for end in ("a", "b"):
             at = None if hot is None else hot.withColumnRenamed("node", end)
-            edges_to = join_unique(edges if end == "a" else edges_to, to.withColumnRenamed("node", end).withColumnRenamed("hook", f"{end}2"), end, at, "inner")
-        then = edges_to.filter("a2 <> b2").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct()
-        written = scratch.write(then)
+            moved = join_unique(moved, to.withColumnRenamed("node", end).withColumnRenamed("hook", f"{end}2"), end, at, "inner")
+        then = scratch.write(moved.filter("a2 <> b2").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct())
         scratch.drop(edges)
-        edges = written
+        edges = then
     if not maps:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("group"))
+        return names.select("node", F.col("node").alias("group"))
     found = maps.pop().select("node", F.col("hook").alias("root"))
     size = found.count()
     while maps:
-        above = maps.pop().select("node", F.col("hook"))
+        above = maps.pop().select("node", "hook")
         size = above.count()
-        hot = _hot(above, "hook", size)
         roots = found.select(F.col("node").alias("hook"), "root")
-        written = scratch.write(join_unique(above, roots, "hook", hot).select("node", F.coalesce("root", "hook").alias("root")))
-        found = written
-    hot = _hot(found, "root", size)
-    smallest = found.groupBy("root").agg(F.min("node").alias("group"))
-    return join_unique(found, smallest, "root", hot, "inner").select("node", "group")
+        found = scratch.write(join_unique(above, roots, "hook", _hot(above, "hook", size)).select("node", F.coalesce("root", "hook").alias("root")))
+    named = scratch.write(found.withColumnRenamed("node", "id").join(names, "id").select("node", "root"))
+    smallest = named.groupBy("root").agg(F.min("node").alias("group"))
+    return join_unique(named, smallest, "root", _hot(named, "root", size), "inner").select("node", "group")

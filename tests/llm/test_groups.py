@@ -52,3 +52,13 @@ def test_hot_keys_give_the_same_groups(spark, monkeypatch):
     monkeypatch.setattr(skew, "HOT_SHARE", 5)
     pairs = [("hub", f"leaf{k:03d}") for k in range(150)] + [(f"leaf{k:03d}", f"far{k:03d}") for k in range(100)] + [("x", "y")]
     assert found(spark, [(*p, 1.0) for p in pairs]) == brute(pairs)
+
+
+def test_vertices_whose_numbers_collide(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from engram.llm import groups
+
+    monkeypatch.setattr(groups, "_id", lambda v: F.pmod(F.xxhash64(v), F.lit(7)))
+    pairs = [(f"n{k:02d}", f"n{k + 1:02d}") for k in range(0, 60, 2)]
+    assert found(spark, [(*p, 1.0) for p in pairs]) == brute(pairs)
