@@ -51,3 +51,12 @@ def chat_sessions(said: DataFrame, key: str) -> DataFrame:
     begins = (F.col("role") == "user") & ((before == "assistant") | (users == 1))
     numbered = said.withColumn("_begins", begins).withColumn("session", F.sum(F.col("_begins").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return numbered.filter("session > 0").groupBy(key, "session").agg(F.min("turn").alias("first_turn"), F.count("*").alias("messages"))
+
+
+def parents(chunks: DataFrame) -> DataFrame:
+    """The first chunk (smallest id) of the section above each chunk's: doc_id, chunk_id, parent_id. Repeated rows count once."""
+    n = F.size("section_path")
+    up = F.when(n > 1, F.array_join(F.slice("section_path", 1, F.greatest(n - 1, F.lit(1))), " > ")).otherwise("")
+    paths = chunks.filter("doc_id IS NOT NULL AND section_path IS NOT NULL").select("id", "doc_id", F.array_join("section_path", " > ").alias("path"), up.alias("up")).distinct()
+    heads = paths.groupBy("doc_id", F.col("path").alias("up")).agg(F.min("id").alias("parent_id"))
+    return paths.filter("up <> ''").join(heads, ["doc_id", "up"]).select("doc_id", F.col("id").alias("chunk_id"), "parent_id")
