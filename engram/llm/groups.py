@@ -6,8 +6,12 @@ written. A round removes a constant share of the vertices in expectation whateve
 (long chains, stars, dense groups), so about log(vertices) rounds are enough. The mappings are then
 expanded from the last round back to the first.
 
-Hubs: choosing a hook is a min() that combines before the shuffle, and relabelling and expansion go
-through joins in which hot keys, whose number is bounded by counting, meet a broadcast.
+Vertices are numbers: 64-bit hashes of the ids, checked to be free of collisions. A round's order is
+a bijection of the numbers that can be undone, so hooking is a plain min() of longs and nothing but
+longs is shuffled until the ids come back at the end.
+
+Hubs: min() combines before the shuffle, and relabelling and expansion go through joins in which hot
+keys, whose number is bounded by counting, meet a broadcast.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -18,15 +22,24 @@ from engram.plans.skew import hot_keys, join_unique
 
 
 def valid_pairs(edges: DataFrame, source: str, target: str, weight: str, least: float) -> DataFrame:
-    """Distinct undirected pairs a < b of rows with two different given ends and a weight, not NaN, of at least `least`."""
+    """Pairs a < b of rows with two different given ends and a weight, not NaN, of at least `least`; repeated ones stay."""
     a, b, w = F.col(source), F.col(target), F.col(weight)
     kept = edges.filter(a.isNotNull() & b.isNotNull() & (a != b) & w.isNotNull() & ~F.isnan(w) & (w >= least))
-    return kept.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+    return kept.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+
+
+def _turned(number: Column, bits: int) -> Column:
+    return F.shiftleft(number, bits).bitwiseOR(F.shiftrightunsigned(number, 64 - bits))
 
 
-def _order(vertex: Column, turn: int) -> Column:
-    """A hash order of the vertices that differs from round to round; the name breaks ties."""
-    return F.struct(F.xxhash64(vertex, F.lit(turn * 7919 + 17)).alias("h"), vertex.alias("v"))
+def _mixed(number: Column, turn: int) -> Column:
+    """A bijection of 64-bit numbers, different in each turn: the bits are flipped by a fresh key and turned, so that other
+    bits of the hash decide which of two numbers comes first."""
+    return _turned(number.bitwiseXOR(F.xxhash64(F.lit(turn * 7919 + 17))), turn * 19 % 63 + 1)
+
+
+def _unmixed(number: Column, turn: int) -> Column:
+    return _turned(number, 63 - turn * 19 % 63).bitwiseXOR(F.xxhash64(F.lit(turn * 7919 + 17)))
 
 
 def _hot(rows: DataFrame, key: str, size: int) -> DataFrame | None:
@@ -40,14 +53,18 @@ def _id(vertex: Column) -> Column:
 def _numbered(pairs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Vertices with a number each (node, id), and the pairs by number, each once with a < b.
 
-    The number is a hash, so pairs need no join to get theirs; that no two vertices share one is checked, and where two
-    do, the vertices themselves serve as numbers.
+    The number is a hash, so pairs need no join to get theirs. That no two vertices share one is checked; where two do,
+    vertices are counted through instead and pairs joined with their numbers.
     """
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     nodes = scratch.write(ends.withColumn("id", _id(F.col("node"))))
     a, b = _id(F.col("a")), _id(F.col("b"))
     if not nodes.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
-        nodes, a, b = nodes.withColumn("id", F.col("node")), F.col("a"), F.col("b")
+        nodes = scratch.write(nodes.select("node", F.monotonically_increasing_id().alias("id")))
+        rows = pairs.count()
+        for end in ("a", "b"):
+            pairs = join_unique(pairs, nodes.select(F.col("node").alias(end), F.col("id").alias(f"{end}2")), end, _hot(pairs, end, rows), "inner")
+        a, b = F.col("a2"), F.col("b2")
     return nodes, scratch.write(pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct())
 
 
@@ -62,16 +79,15 @@ def components(pairs: DataFrame) -> DataFrame:
     while n := edges.count():
         turn = len(maps)
         ends = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hooks = ends.groupBy(F.col("a").alias("node")).agg(F.min(_order(F.col("b"), turn)).alias("best"), F.count("*").alias("links"))
-        own = _order(F.col("node"), turn)
-        hooks = scratch.write(hooks.select("node", F.when(own < F.col("best"), F.col("node")).otherwise(F.col("best.v")).alias("hook"), "links"))
+        best = ends.groupBy(F.col("a").alias("node")).agg(F.min(_mixed(F.col("b"), turn)).alias("best"), F.count("*").alias("links"))
+        hooks = scratch.write(best.select("node", _unmixed(F.least(_mixed(F.col("node"), turn), F.col("best")), turn).alias("hook"), "links"))
         maps.append(hooks)
         hot = hot_keys(hooks, "node", "links", 2 * n)  # links are a vertex's rows among both ends of all edges
         to = hooks.select("node", "hook")
         moved = edges
         for end in ("a", "b"):
             at = None if hot is None else hot.withColumnRenamed("node", end)
-            moved = join_unique(moved, to.withColumnRenamed("node", end).withColumnRenamed("hook", f"{end}2"), end, at, "inner")
+            moved = join_unique(moved, to.withColumnRenamed("node", end).withColumnRenamed("hook", f"{end}2"), end, at, "inner").drop(end)
         then = scratch.write(moved.filter("a2 <> b2").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct())
         scratch.drop(edges)
         edges = then
