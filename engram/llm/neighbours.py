@@ -180,12 +180,13 @@ def top_similar(df: DataFrame, id_col: str, vector: str, k: int = 10, size: int
         for at in range(0, len(lookers), 512):
             part = lookers[at : at + 512]
             q = matrix(part["vec"])
-            guess = np.zeros((len(q), len(x)), np.float32)
+            # tables by word, so that adding up a stage copies whole rows of lookers
+            guess = np.zeros((len(x), len(q)), np.float32)
             for m in range(codes.shape[1]):
-                guess += (q @ b[m].T)[:, codes[:, m]]
-            guess /= norms
-            best = np.argpartition(-guess, keep - 1, axis=1)[:, :keep] if keep < len(x) else np.tile(np.arange(keep), (len(q), 1))
-            exact = np.einsum("qd,qkd->qk", q.astype(np.float64), x[best].astype(np.float64), optimize=True)
+                guess += np.take(b[m] @ q.T, codes[:, m], axis=0)
+            guess /= -norms[:, None]
+            best = np.argpartition(np.ascontiguousarray(guess.T), keep - 1, axis=1)[:, :keep] if keep < len(x) else np.tile(np.arange(keep), (len(q), 1))
+            exact = np.matmul(x[best], q[:, :, None])[:, :, 0].astype(np.float64)
             names = part["id"].to_numpy()
             exact[ids[best] == names[:, None]] = -9.0
             few = min(k + 1, keep)
