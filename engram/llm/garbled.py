@@ -9,7 +9,7 @@ the lines really say (M). So weak evidence in one record, a lone accent, is sett
 of its source, and the garbled characters themselves stop counting as clean text.
 
 What crosses to the driver is of fixed size: BUCKETS bigram counts and SOURCES x fields x chains
-shares. All lines of all texts take part in each round.
+shares. All lines of all texts take part; those that are clean beyond doubt are counted once and not judged again.
 """
 
 import functools
@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from engram.plans.lineage import Scratch
 
 BUCKETS, SOURCES, ROUNDS, PRIOR, OPEN = 1 << 18, 1024, 6, 0.002, 0.3
+#: A line that is clean with this probability, open-mindedly judged, is not judged again.
+SETTLED = 1 - 1e-7
 #: Log-odds lost for a run that a chain could not have made, and the floor and ceiling of one run's evidence.
 IMPOSSIBLE, CEILING = -12.0, 25.0
 #: A lost character under the chains that lose characters has this log-probability.
@@ -33,7 +35,7 @@ ALPHA = 2.0
 CLEAN, LOSSY = "", "lost"
 
 RUN = re.compile(r"[^\x00-\x7f]+")
-#: Characters that need no second look if a line has no others beyond ASCII.
+#: Lines of these characters alone cannot be garbled by any chain here; they only teach the model.
 PLAIN = re.compile(r"[\x00-\x7f가-힣]*")
 # Words that announce a cited character.
 CITES = ("sign", "symbol", "character", "char", "glyph", "mark", "zeichen", "signe", "caractère", "signo", "carácter", "문자", "기호")
@@ -87,6 +89,7 @@ STEPS = {
     "utf8>949": (("cp949", "utf-8"),),
 }
 CHAINS = (CLEAN, *STEPS, LOSSY)
+SURE = np.eye(1, len(CHAINS))[0]
 
 
 def undo(run: str, chain: str) -> str | None:
@@ -105,6 +108,12 @@ def undo(run: str, chain: str) -> str | None:
     return run if not any("\x80" <= c < "\xa0" for c in run) else None
 
 
+@functools.lru_cache(200_000)
+def was_utf8(run: str) -> bool:
+    """Whether some charset makes UTF-8 of the run, which clean text hardly ever is by chance."""
+    return any(undo(run, chain) for chain, steps in STEPS.items() if len(steps) == 1 and steps[0][1] == "utf-8")
+
+
 class Model:
     """Character bigrams, hashed; log-probabilities back off to single characters."""
 
@@ -195,74 +204,135 @@ def _priors(shares: dict, group: str, prior: float = PRIOR) -> np.ndarray:
 
 
 def lines_of(df: DataFrame, key: str, source: str | None, fields: Sequence[str]) -> DataFrame:
-    """Lines with characters that may be garbled: key, source, field, nth line, line."""
+    """Lines with characters beyond ASCII: key, source, field, nth line, line."""
     parts = []
     for field in fields:
         from_ = F.col(source).cast("string") if source else F.lit("")
         lines = df.select(F.col(key).alias("key"), from_.alias("source"), F.lit(field).alias("field"), F.posexplode(F.split(F.col(field), "\n")).alias("nth", "line"))
-        parts.append(lines.filter(F.col("line").rlike(r"[^\x00-\x7f가-힣]")))
+        parts.append(lines.filter(F.col("line").rlike(r"[^\x00-\x7f]")))
     out = parts[0]
     for more in parts[1:]:
         out = out.unionByName(more)
     return out
 
 
-def _estimate(lines: DataFrame, scratch: Scratch) -> tuple[dict, np.ndarray, np.ndarray]:
-    """Shares of chains per group and bigram counts, after ROUNDS rounds."""
+class Learnt:
+    """Weighted texts and posteriors of one task, to be counted."""
+
+    def __init__(self):
+        self.texts: dict[str, float] = {}
+        self.groups: dict[str, np.ndarray] = {}
+
+    def text(self, text: str, weight: float) -> None:
+        if weight > 0.001:
+            self.texts[text] = self.texts.get(text, 0.0) + weight
+
+    def line(self, group: str, p: np.ndarray, items: list) -> None:
+        """What a line says: as it stands if it is clean, and as its likeliest chain leaves it if it is not."""
+        best = CHAINS[int(p[1:-1].argmax()) + 1]
+        for a, run, b, cited in items:
+            self.text(a + run + b, float(p[0]))
+            if p[0] < 0.5 and not cited and (real := undo(run, best)):
+                self.text(a + real + b, float(p[CHAINS.index(best)]))
+        if group not in self.groups:
+            self.groups[group] = np.zeros(len(CHAINS))
+        self.groups[group] += p
+
+    def rows(self) -> list[tuple[str, str, float]]:
+        two, one = np.zeros(BUCKETS), np.zeros(65536)
+        for text, w in self.texts.items():
+            # a lost character is never clean text (a cited one is no evidence), so it is not learnt
+            for a, b in zip(text, text[1:]):
+                if a != "�" and b != "�":
+                    two[pair(a, b)] += w
+                    one[ord(a) & 0xFFFF] += w
+            if text[-1] != "�":
+                one[ord(text[-1]) & 0xFFFF] += w
+        out = [("2", str(k), two[k]) for k in np.flatnonzero(two)] + [("1", str(k), one[k]) for k in np.flatnonzero(one)]
+        return out + [(g, str(k), v) for g, p in self.groups.items() for k, v in enumerate(p) if v > 0]
+
+
+def _totals(rows: DataFrame) -> tuple[dict, np.ndarray, np.ndarray]:
+    """Shares and counts from rows (what, at, n): at most BUCKETS + 65536 + SOURCES * fields * chains sums reach the driver."""
     shares: dict[str, np.ndarray] = {}
     pairs, singles = np.zeros(BUCKETS, np.float32), np.zeros(65536, np.float32)
-    for turn in range(ROUNDS + 1):
-        known = scratch.spark.sparkContext.broadcast((shares, pairs, singles))
+    for what, part in rows.groupBy("what", "at").agg(F.sum("n").alias("n")).toPandas().groupby("what"):
+        at, n = part["at"].astype(int).to_numpy(), part["n"].to_numpy()
+        target = pairs if what == "2" else singles if what == "1" else shares.setdefault(what, np.zeros(len(CHAINS)))
+        target[at] = n
+    return shares, pairs, singles
+
+
+class Judge:
+    """Posteriors of lines under one state of the estimates."""
+
+    def __init__(self, shares: dict, pairs: np.ndarray, singles: np.ndarray, prior: float = PRIOR):
+        self.shares, self.prior, self.model = shares, prior, Model(pairs, singles)
+        self.known: dict[str, np.ndarray] = {}
+
+    def __call__(self, source, field, line: str) -> tuple[str, np.ndarray, list]:
+        group = _group(source, field)
+        if group not in self.known:
+            self.known[group] = _priors(self.shares, group, self.prior)
+        if PLAIN.fullmatch(line):
+            return group, SURE, runs(line)
+        return group, *posterior(line, self.known[group], self.model)
+
+
+def _estimate(lines: DataFrame, scratch: Scratch) -> tuple[DataFrame, tuple[dict, np.ndarray, np.ndarray]]:
+    """The lines that are not settled, and shares of chains per group and bigram counts after ROUNDS rounds.
 
-        # the first posteriors are open-minded, so that garbled lines stop passing for clean text; later ones go by the shares
-        prior = OPEN if turn == 1 else PRIOR
+    First all lines count, those with runs that undo as UTF-8 for little. Under what that tells, with an open mind (OPEN),
+    each line is judged: one that is clean beyond SETTLED stays so and is counted once; the others go through the rounds.
+    """
+    kind, spark = "what string, at string, n double", scratch.spark
+
+    def begin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        learnt = Learnt()
+        for batch in batches:
+            for line in batch["line"]:
+                for a, run, b, _ in runs(line):
+                    learnt.text(a + run + b, 0.02 if was_utf8(run) else 1.0)
+        yield pd.DataFrame(learnt.rows(), columns=["what", "at", "n"])
 
-        def count(batches: Iterator[pd.DataFrame], first: bool = turn == 0, known=known, prior: float = prior) -> Iterator[pd.DataFrame]:
-            shares, pairs, singles = known.value
-            model = Model(pairs, singles)
-            two, one, groups = np.zeros(BUCKETS), np.zeros(65536), {}
+    def judged(state, prior: float):
+        """Counts of lines by their posterior."""
+        held = spark.sparkContext.broadcast(state)
+
+        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            judge, learnt = Judge(*held.value, prior), Learnt()
             for batch in batches:
                 for source, field, line in zip(batch["source"], batch["field"], batch["line"]):
-                    group = _group(source, field)
-                    if first:
-                        # before anything is known, a run that undoes as UTF-8 counts little as clean text
-                        items = runs(line)
-                        p = np.zeros(len(CHAINS))
-                        p[0] = 1.0
-                        said = [(a + run + b, 0.02 if undo(run, "utf8>1252") else 1.0) for a, run, b, _ in items]
-                    else:
-                        p, items = posterior(line, _priors(shares, group, prior), model)
-                        best = CHAINS[int(p[1:-1].argmax()) + 1]
-                        said = []
-                        for a, run, b, cited in items:
-                            said.append((a + run + b, float(p[0])))
-                            if p[0] < 0.5 and not cited and (real := undo(run, best)):
-                                said.append((a + real + b, float(p[CHAINS.index(best)])))
-                        if group not in groups:
-                            groups[group] = np.zeros(len(CHAINS))
-                        groups[group] += p
-                    for text, w in said:
-                        if w > 0.001:
-                            # a lost character is never clean text (a cited one is no evidence), so it is not learnt
-                            for a, b in zip(text, text[1:]):
-                                if a != "�" and b != "�":
-                                    two[pair(a, b)] += w
-                                    one[ord(a) & 0xFFFF] += w
-                            if text[-1] != "�":
-                                one[ord(text[-1]) & 0xFFFF] += w
-            rows = [("2", str(k), v) for k, v in zip(np.flatnonzero(two), two[two > 0])] + [("1", str(k), v) for k, v in zip(np.flatnonzero(one), one[one > 0])]
-            rows += [(g, str(k), v) for g, p in groups.items() for k, v in enumerate(p) if v > 0]
-            yield pd.DataFrame(rows, columns=["what", "at", "n"])
-
-        # at most BUCKETS + 65536 + SOURCES * fields * chains rows
-        totals = lines.mapInPandas(count, "what string, at string, n double").groupBy("what", "at").agg(F.sum("n").alias("n")).toPandas()
-        pairs, singles, shares = np.zeros(BUCKETS, np.float32), np.zeros(65536, np.float32), {}
-        for what, part in totals.groupby("what"):
-            at, n = part["at"].astype(int).to_numpy(), part["n"].to_numpy()
-            target = pairs if what == "2" else singles if what == "1" else shares.setdefault(what, np.zeros(len(CHAINS)))
-            target[at] = n
-        known.unpersist()
-    return shares, pairs, singles
+                    learnt.line(*judge(source, field, line))
+            yield pd.DataFrame(learnt.rows(), columns=["what", "at", "n"])
+
+        return count
+
+    state = _totals(lines.mapInPandas(begin, kind))
+    state = _totals(lines.mapInPandas(judged(state, OPEN), kind))
+    held = spark.sparkContext.broadcast(state)
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Lines that are still open, and the counts of the settled ones in rows without a line."""
+        judge, learnt = Judge(*held.value, OPEN), Learnt()
+        for batch in batches:
+            keep = np.zeros(len(batch), bool)
+            for k, (source, field, line) in enumerate(zip(batch["source"], batch["field"], batch["line"])):
+                group, p, items = judge(source, field, line)
+                if p[0] > SETTLED:
+                    learnt.line(group, p, items)
+                else:
+                    keep[k] = True
+            yield batch[keep].assign(what=None, at=None, n=None)
+        counted = pd.DataFrame(learnt.rows(), columns=["what", "at", "n"])
+        yield counted.assign(key=None, source=None, field=None, nth=None, line=None)[["key", "source", "field", "nth", "line", "what", "at", "n"]]
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in lines.schema.fields)
+    parted = scratch.write(lines.mapInPandas(split, f"{fields}, {kind}"))
+    open_lines, settled = parted.filter("what IS NULL").select(lines.columns), parted.filter("what IS NOT NULL").select("what", "at", "n")
+    for _ in range(ROUNDS - 1):
+        state = _totals(open_lines.mapInPandas(judged(state, PRIOR), kind).unionByName(settled))
+    return open_lines, state
 
 
 def garbled_lines(df: DataFrame, key: str, source: str | None, fields: Sequence[str]) -> DataFrame:
@@ -272,16 +342,15 @@ def garbled_lines(df: DataFrame, key: str, source: str | None, fields: Sequence[
     repeated rows repeat theirs; an empty table gives no rows. Other columns are not read.
     """
     scratch = Scratch(df.sparkSession)
-    lines = scratch.write(lines_of(df, key, source, fields))
-    known = df.sparkSession.sparkContext.broadcast(_estimate(lines, scratch))
+    lines, state = _estimate(scratch.write(lines_of(df, key, source, fields)), scratch)
+    known = df.sparkSession.sparkContext.broadcast(state)
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shares, pairs, singles = known.value
-        model = Model(pairs, singles)
+        judge = Judge(*known.value)
         for batch in batches:
             rows = []
             for key, source, field, nth, line in zip(batch["key"], batch["source"], batch["field"], batch["nth"], batch["line"]):
-                p, _ = posterior(line, _priors(shares, _group(source, field)), model)
+                _, p, _ = judge(source, field, line)
                 if p[0] < 0.5:
                     chain = CHAINS[int(p[1:].argmax()) + 1]
                     rows.append((key, field, nth, line, chain, float(1 - p[0]), restore(line, chain)))
