@@ -30,6 +30,7 @@ class Scratch:
         self.spark = spark
         self.folder = f"{shared_folder(spark)}/engram-{uuid.uuid4().hex}"
         self.n = 0
+        self.paths: set[str] = set()
         atexit.register(self.drop)
 
     def write(self, df: DataFrame) -> DataFrame:
@@ -39,13 +40,23 @@ class Scratch:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._engram_path = path
+        self.paths.add(path)
         return out
 
+    def keep(self, *frames: DataFrame) -> None:
+        """Delete all tables but those of the given frames, as written."""
+        for path in self.paths - {f._engram_path for f in frames}:
+            self._delete(path)
+
     def drop(self, df: DataFrame | None = None) -> None:
-        """Delete one written table, or the whole folder; a folder that is gone is no error."""
+        """Delete one written table, or the whole folder."""
+        self._delete(self.folder if df is None else df._engram_path)
+
+    def _delete(self, path: str) -> None:
+        """A path that is gone is no error, nor is a session that has ended."""
+        self.paths.discard(path)
         try:
-            jvm = self.spark.sparkContext._jvm
-            path = jvm.org.apache.hadoop.fs.Path(df._engram_path if df is not None else self.folder)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        except Exception:  # the session may have ended already
+            at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:
             pass
