@@ -101,5 +101,6 @@ def components(pairs: DataFrame) -> DataFrame:
         roots = found.select(F.col("node").alias("hook"), "root")
         found = scratch.write(join_unique(above, roots, "hook", _hot(above, "hook", size)).select("node", F.coalesce("root", "hook").alias("root")))
     named = scratch.write(found.withColumnRenamed("node", "id").join(names, "id").select("node", "root"))
+    scratch.keep(named)
     smallest = named.groupBy("root").agg(F.min("node").alias("group"))
     return join_unique(named, smallest, "root", _hot(named, "root", size), "inner").select("node", "group")
