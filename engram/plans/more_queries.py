@@ -72,7 +72,7 @@ _WORDS = r"list_filter(list_distinct(regexp_extract_all(lower(coalesce(text, '')
     f"""WITH {_EDGES}, m AS (SELECT memory_key AS key, coalesce(text, '') AS text, epoch_us(created_at) AS us, source, {_WORDS} AS words FROM documents),
     p AS (SELECT e.a, e.b, x.text AS ta, y.text AS tb, x.words AS wa, y.words AS wb, abs(x.us - y.us) / 1e6 AS gap, (x.source = y.source)::INT::DOUBLE AS same FROM edges e JOIN m x ON x.key = e.a JOIN m y ON y.key = e.b),
     s AS (SELECT a, b, CASE WHEN len(wa) = 0 AND len(wb) = 0 THEN 1.0 ELSE len(list_intersect(wa, wb)) / greatest(len(wa) + len(wb) - len(list_intersect(wa, wb)), 1) END AS content, (ta = tb)::INT::DOUBLE AS structure,
-        coalesce(CASE WHEN gap <= 60 THEN 1.0 WHEN gap <= 300 THEN 0.9 WHEN gap <= 3600 THEN 0.7 WHEN gap <= 86400 THEN 0.5 WHEN gap <= 604800 THEN 0.3 WHEN gap <= 2592000 THEN 0.1 END, 0.0) AS time, coalesce(same, 0.5) AS metadata,
+        coalesce(CASE WHEN gap <= 60 THEN 1.0 WHEN gap <= 300 THEN 0.9 WHEN gap <= 3600 THEN 0.7 WHEN gap <= 86400 THEN 0.5 WHEN gap <= 604800 THEN 0.3 WHEN gap <= 2592000 THEN 0.1 END, 0.0)::DOUBLE AS time, coalesce(same, 0.5) AS metadata,
         CASE WHEN length(ta) = 0 OR length(tb) = 0 THEN 0.0 ELSE len(list_filter(range(1, least(length(ta), length(tb), 100) + 1), lambda i: substring(ta, i, 1) = substring(tb, i, 1))) / greatest(least(length(ta), 100), least(length(tb), 100)) END AS places FROM p),
     o AS (SELECT *, 0.5 * content + 0.2 * structure + 0.1 * time + 0.2 * metadata AS overall FROM s)
     SELECT a, b, round(content, 6) AS content, round(time, 6) AS time, round(places, 6) AS places, round(overall, 6) AS overall, CASE WHEN overall >= 0.95 THEN 'duplicate' WHEN time >= 0.7 AND content < 0.5 THEN 'temporal' WHEN structure >= 0.8 AND content < 0.5 THEN 'structural'
@@ -98,7 +98,7 @@ def hierarchical_relations(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     f"""WITH {_EDGES}, named AS (SELECT 'memory:document:' || doc_id AS node, unnest(regexp_extract_all(content, 'memory:[a-z]+:[0-9]+')) AS other FROM chunks WHERE content IS NOT NULL AND doc_id IS NOT NULL),
     every AS (SELECT node, other, weight AS score FROM ways UNION ALL SELECT node, other, 0.95 FROM named WHERE node <> other), best AS (SELECT node, other, max(score) AS score FROM every GROUP BY 1, 2)
-    SELECT node, other, round(score, 6) AS score, place FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY score DESC, other) AS place FROM best) WHERE place <= 10"""
+    SELECT node, other, round(score, 6) AS score, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY score DESC, other) AS place FROM best) WHERE place <= 10"""
 )
 def related_memories(spark: SparkSession, folder: str) -> DataFrame:
     """The ten memories most related to each, by match or by being named."""

@@ -34,7 +34,7 @@ def query(sql: str | None = None):
 def _score_sql(text: str, query_text: str) -> str:
     words = f"regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}_]+')"
     hits = " + ".join(f"len(list_filter({words}, lambda t: t = '{w}'))" for w in query_text.split())
-    return f"least(1.0, (({hits})::DOUBLE / nullif(len({words}), 0)) * CASE WHEN contains(lower({text}), '{query_text}') THEN 1.5 ELSE 1.0 END)"
+    return f"CASE WHEN len({words}) > 0 THEN least(1.0, (({hits})::DOUBLE / len({words})) * CASE WHEN contains(lower({text}), '{query_text}') THEN 1.5 ELSE 1.0 END) END"
 
 
 # --- searches
@@ -59,7 +59,7 @@ def keyword_search(spark: SparkSession, folder: str) -> DataFrame:
     return best.select("doc_id", F.round("score", 6).alias("score"), preview(F.col("text"), 500).alias("preview"))
 
 
-@query("SELECT doc_id, instr(text, 'the retention job') AS position FROM documents WHERE contains(text, 'the retention job')")
+@query("SELECT doc_id, instr(text, 'the retention job')::INT AS position FROM documents WHERE contains(text, 'the retention job')")
 def exact_phrase(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with a phrase and where it first occurs."""
     return table(spark, folder, "documents").filter(F.contains("text", F.lit("the retention job"))).select("doc_id", F.instr("text", "the retention job").alias("position"))
@@ -164,7 +164,7 @@ def intelligent_search(spark: SparkSession, folder: str) -> DataFrame:
     f"""WITH ranked AS (SELECT id, {_score_sql('content', 'relation edges')} AS score, length(content) // 4 AS tokens FROM chunks WHERE contains(lower(content), 'relation') AND contains(lower(content), 'edges')),
     best AS (SELECT id, score, tokens, row_number() OVER (ORDER BY score DESC, id) AS place FROM (SELECT DISTINCT * FROM ranked)),
     sums AS (SELECT *, coalesce(sum(tokens) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM best WHERE place <= 10)
-    SELECT id, place, tokens::BIGINT AS tokens, before, least(tokens, 300 - before)::BIGINT AS kept FROM sums WHERE before + tokens <= 300 OR (before < 300 AND 300 - before > 100)"""
+    SELECT id, place::INT AS place, tokens::BIGINT AS tokens, before, least(tokens, 300 - before)::BIGINT AS kept FROM sums WHERE before + tokens <= 300 OR (before < 300 AND 300 - before > 100)"""
 )
 def context_budget(spark: SparkSession, folder: str) -> DataFrame:
     """The best ten chunks for a query as far as a budget of 300 tokens goes; the one that overflows is cut if more than 100 are left."""
@@ -282,7 +282,7 @@ def _events(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     " UNION ALL ".join(
-        f"SELECT id, principal_id, '{name}' AS pattern, n, {risk} AS risk FROM (SELECT id, principal_id, count(*) OVER (PARTITION BY principal_id ORDER BY epoch_us(ts) RANGE BETWEEN {minutes * 60_000_000} PRECEDING AND CURRENT ROW) AS n FROM audit_events WHERE lower(event_type) IN ({', '.join(repr(k) for k in kinds)}) AND ts IS NOT NULL) WHERE n >= {threshold}"
+        f"SELECT id, principal_id, '{name}' AS pattern, n, {risk}::DOUBLE AS risk FROM (SELECT id, principal_id, count(*) OVER (PARTITION BY principal_id ORDER BY epoch_us(ts) RANGE BETWEEN {minutes * 60_000_000} PRECEDING AND CURRENT ROW) AS n FROM audit_events WHERE lower(event_type) IN ({', '.join(repr(k) for k in kinds)}) AND ts IS NOT NULL) WHERE n >= {threshold}"
         for name, kinds, threshold, minutes, risk in audit.PATTERNS
     )
 )
@@ -388,7 +388,7 @@ def daily_counts(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "audit_events").filter("ts IS NOT NULL").groupBy(F.col("ts").cast("date").cast("string").alias("day"), F.lower("event_type").alias("event_type")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT hour(ts)::INT AS hour, (dayofweek(ts) + 6) % 7 AS weekday, count(*) AS n FROM audit_events WHERE ts IS NOT NULL GROUP BY 1, 2")
+@query("SELECT hour(ts)::INT AS hour, ((dayofweek(ts) + 6) % 7)::INT AS weekday, count(*) AS n FROM audit_events WHERE ts IS NOT NULL GROUP BY 1, 2")
 def active_hours(spark: SparkSession, folder: str) -> DataFrame:
     """Events by hour and weekday (Monday is 0)."""
     return table(spark, folder, "audit_events").filter("ts IS NOT NULL").groupBy(F.hour("ts").alias("hour"), F.weekday("ts").alias("weekday")).agg(F.count("*").alias("n"))
@@ -412,7 +412,7 @@ def activity_trend(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     f"""WITH w AS (SELECT source, unnest(regexp_extract_all(lower(text), '[a-z]{{3,}}')) AS word FROM documents WHERE text IS NOT NULL),
     c AS (SELECT source, word, count(*) AS n FROM w WHERE word NOT IN ({', '.join(repr(x) for x in TOPIC_STOP_WORDS)}) GROUP BY 1, 2)
-    SELECT source, word, n, place FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, word) AS place FROM c) WHERE place <= 3"""
+    SELECT source, word, n, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, word) AS place FROM c) WHERE place <= 3"""
 )
 def topic_words(spark: SparkSession, folder: str) -> DataFrame:
     """The three most frequent words of each source."""
@@ -514,7 +514,7 @@ for _strategy in chunking.STRATEGIES:
 # --- integrity and migration
 
 
-@query("SELECT doc_id, md5(text) AS md5, sha1(text) AS sha1, sha256(text) AS sha256, octet_length(encode(text)) AS size_bytes FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, md5(text) AS md5, sha1(text) AS sha1, sha256(text) AS sha256, octet_length(encode(text))::INT AS size_bytes FROM documents WHERE text IS NOT NULL")
 def checksum_manifest(spark: SparkSession, folder: str) -> DataFrame:
     """Checksums and sizes of all documents."""
     return integrity.manifest(table(spark, folder, "documents"), "doc_id", "text")
