@@ -52,9 +52,8 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _sized(spark: SparkSession, folder: str) -> DataFrame:
-    documents = table(spark, folder, "documents")
-    counted = token_ids(documents, "doc_id", "text").select("doc_id", F.size("ids").alias("tokens"))
-    return documents.select("doc_id", "source").join(counted, "doc_id")
+    named = table(spark, folder, "documents").select(F.struct("doc_id", "source").alias("named"), "text")
+    return token_ids(named, "named", "text").select("named.*", F.size("ids").alias("tokens"))
 
 
 def p7_mixture(spark: SparkSession, folder: str) -> DataFrame:
