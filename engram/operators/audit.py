@@ -26,14 +26,20 @@ def trailing_counts(events: DataFrame, keys: list[str], us: str, width_us: int,
 
 
 def anomalies(events: DataFrame, id_col: str, principal: str, us: str, kind: Column) -> DataFrame:
-    """Events that complete a burst: id, principal, pattern, n, risk."""
-    out = None
+    """Events that complete a burst: id, principal, pattern, n, risk. Each event type belongs to one pattern.
+
+    All patterns are counted in one pass: times are stretched so that every pattern's minutes are as long as the longest.
+    """
+    longest = max(minutes for *_, minutes, _ in PATTERNS)
+    rule = F.lit(None).cast("struct<pattern:string,threshold:int,stretch:int,risk:double>")
     for name, kinds, threshold, minutes, risk in PATTERNS:
-        own = events.filter(kind.isin(*kinds) & F.col(us).isNotNull()).select(F.col(id_col).alias("id"), F.col(principal).alias("principal_id"), F.col(us).alias("us"))
-        found = trailing_counts(own, ["principal_id"], "us", minutes * 60_000_000).filter(F.col("n") >= threshold)
-        found = found.select("id", "principal_id", F.lit(name).alias("pattern"), "n", F.lit(risk).alias("risk"))
-        out = found if out is None else out.unionByName(found)
-    return out
+        if longest % minutes:
+            raise ValueError(f"{longest} minutes are no multiple of the {minutes} of {name}")
+        rule = F.when(kind.isin(*kinds), F.struct(F.lit(name).alias("pattern"), F.lit(threshold).alias("threshold"), F.lit(longest // minutes).alias("stretch"), F.lit(risk).alias("risk"))).otherwise(rule)
+    own = events.select(F.col(id_col).alias("id"), F.col(principal).alias("principal_id"), F.col(us).alias("us"), rule.alias("rule")).filter("rule IS NOT NULL AND us IS NOT NULL")
+    timed = own.select("id", "principal_id", "rule.pattern", "rule.threshold", "rule.risk", (F.col("us") * F.col("rule.stretch")).alias("at"))
+    counted = trailing_counts(timed, ["principal_id", "pattern"], "at", longest * 60_000_000)
+    return counted.filter("n >= threshold").select("id", "principal_id", "pattern", "n", "risk")
 
 
 def by_type(events: DataFrame, kind: Column) -> DataFrame:
