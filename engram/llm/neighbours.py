@@ -99,6 +99,51 @@ def matrix(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.float32).reshape(len(column), -1)
 
 
+def upto(counts: np.ndarray) -> np.ndarray:
+    """0, 1, ... count - 1 for each count, one after the other."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts)
+
+
+def salts(ids: pd.Series) -> np.ndarray:
+    """A non-negative number per id that only depends on the id."""
+    return (pd.util.hash_array(ids.to_numpy(dtype=object).astype(str).astype(object)) >> np.uint64(1)).astype(np.int64)
+
+
+class Places:
+    """Cells with their centres and sizes, and who looks where."""
+
+    #: Of many cells, so many nearest ones are looked through at most.
+    NEAR = 256
+
+    def __init__(self, books: np.ndarray, cells: list[tuple[int, int, int]]):
+        self.where = {(c1, c2): j for j, (c1, c2, _) in enumerate(cells)}
+        self.centres = np.stack([books[0][c1] + (books[1][c2] if c2 >= 0 else 0) for c1, c2, _ in cells]).astype(np.float32)
+        self.half = (self.centres * self.centres).sum(1) / 2
+        self.sizes = np.array([n for *_, n in cells], np.int64)
+        self.blocks = np.maximum(1, -(-self.sizes // BLOCK))
+
+    def own(self, c1: np.ndarray, c2: np.ndarray) -> np.ndarray:
+        return np.array([self.where[(a, -1)] if (a, -1) in self.where else self.where[(a, b)] for a, b in zip(c1.tolist(), c2.tolist())], np.int64)
+
+    def looks(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of x and the cells that they look into: the nearest, until they hold LOOK vectors and are at least CELLS."""
+        rows, cells, n = [], [], len(self.sizes)
+        for at in range(0, len(x), 1024):
+            far = self.half - x[at : at + 1024] @ self.centres.T
+            if n > self.NEAR:
+                some = np.argpartition(far, self.NEAR - 1, axis=1)[:, : self.NEAR]
+                order = np.take_along_axis(some, np.argsort(np.take_along_axis(far, some, 1), axis=1, kind="stable"), 1)
+            else:
+                order = np.argsort(far, axis=1, kind="stable")
+            held = np.cumsum(self.sizes[order], axis=1)
+            enough = np.maximum((held < LOOK).sum(1) + 1, min(CELLS, n))
+            r, k = np.nonzero(np.arange(order.shape[1])[None, :] < enough[:, None])
+            rows.append(r + at)
+            cells.append(order[r, k])
+        return np.concatenate(rows), np.concatenate(cells)
+
+
 def top_similar(df: DataFrame, id_col: str, vector: str, k: int = 10, size: int = 64) -> DataFrame:
     """For each usable vector the k others with the highest cosine: id, other, cosine, place (1 is the nearest).
 
@@ -130,40 +175,45 @@ def top_similar(df: DataFrame, id_col: str, vector: str, k: int = 10, size: int
     crowded = set(by_first[by_first > CROWD].index)
     cells = [(c1, -1, int(n)) for c1, n in by_first.items() if c1 not in crowded]
     cells += [(c1, c2, int(n)) for c1, c2, n in counts.itertuples(index=False) if c1 in crowded]
-    known = spark.sparkContext.broadcast(cells)
+    places = Places(books.value, cells)
+    known = spark.sparkContext.broadcast(places)
+
+    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """How many look into each cell, by batch."""
+        for batch in batches:
+            if len(batch):
+                _, cell = known.value.looks(matrix(batch["vec"]))
+                at, n = np.unique(cell, return_counts=True)
+                yield pd.DataFrame({"cell": at, "n": n})
+
+    lookers = indexed.mapInPandas(visit, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # one row per cell at most
+    turns = np.ones(len(cells), np.int64)
+    turns[lookers["cell"].to_numpy()] = np.maximum(1, -(-lookers["n"].to_numpy() // (4 * BLOCK)))
+    shifts = spark.sparkContext.broadcast(turns)
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Each vector once for every block that looks at it in its own cell (owner), and once per block it looks into."""
-        cells, b = known.value, books.value
-        where = {(c1, c2): j for j, (c1, c2, _) in enumerate(cells)}
-        centres = np.stack([b[0][c1] + (b[1][c2] if c2 >= 0 else 0) for c1, c2, _ in cells])
-        half = (centres * centres).sum(1) / 2
-        sizes = np.array([n for *_, n in cells])
-        blocks = np.maximum(1, -(-sizes // BLOCK))
+        """Each vector once for every turn of lookers at its own block, and once per block of each cell that it looks into."""
+        place, turns = known.value, shifts.value
         for batch in batches:
             if not len(batch):
                 continue
-            for at in range(0, len(batch), 1024):
-                part = batch[at : at + 1024]
-                score = matrix(part["vec"]) @ centres.T - half
-                order = np.argsort(-score, axis=1, kind="stable")
-                held = np.cumsum(sizes[order], axis=1)
-                enough = np.maximum((held < LOOK).sum(1) + 1, min(CELLS, len(cells)))
-                own = [where[(c1, -1)] if (c1, -1) in where else where[(c1, c2)] for c1, c2 in zip(part["c1"], part["c2"])]
-                salt = pd.util.hash_array(part["id"].to_numpy(dtype=object)) if part["id"].dtype == object else part["id"].to_numpy()
-                row, cell, block, looks, turn = [], [], [], [], []
-                for r in range(len(part)):
-                    j, s = own[r], int(salt[r])
-                    mine = s % int(blocks[j])
-                    # lookers of a cell come in as many turns as the cell has blocks; owners stand in all of them
-                    for t in range(int(blocks[j])):
-                        row.append(r), cell.append(j), block.append(mine), looks.append(False), turn.append(t)
-                    for j in order[r, : min(int(enough[r]), len(cells))]:
-                        for q in range(int(blocks[j])):
-                            row.append(r), cell.append(int(j)), block.append(q), looks.append(True), turn.append(s // 7919 % int(blocks[j]))
-                vec, codes = part["vec"].to_numpy()[row], part["codes"].to_numpy()[row]
-                looks = np.array(looks)
-                yield pd.DataFrame({"cell": cell, "block": block, "turn": turn, "looks": looks, "id": part["id"].to_numpy()[row], "vec": vec, "codes": np.where(looks, None, codes), "norm": part["norm"].to_numpy()[row]})
+            salt = salts(batch["id"])
+            own = place.own(batch["c1"].to_numpy(), batch["c2"].to_numpy())
+            here = np.repeat(np.arange(len(batch)), turns[own])
+            there, cell = place.looks(matrix(batch["vec"]))
+            times = place.blocks[cell]
+            row = np.concatenate([here, np.repeat(there, times)])
+            looks = np.arange(len(row)) >= len(here)
+            yield pd.DataFrame({
+                "cell": np.concatenate([own[here], np.repeat(cell, times)]),
+                "block": np.concatenate([(salt % place.blocks[own])[here], upto(times)]),
+                "turn": np.concatenate([upto(turns[own]), np.repeat((salt[there] // 7919) % turns[cell], times)]),
+                "looks": looks,
+                "id": batch["id"].to_numpy()[row],
+                "vec": batch["vec"].to_numpy()[row],
+                "codes": np.where(looks, None, batch["codes"].to_numpy()[row]),
+                "norm": batch["norm"].to_numpy()[row],
+            })
 
     def score(group: pd.DataFrame) -> pd.DataFrame:
         looks = group["looks"].to_numpy()

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from engram.llm import neighbours
-from engram.llm.neighbours import encode, fit_codebooks, top_similar
+from engram.llm.neighbours import encode, fit_codebooks, top_similar, upto
 
 
 def exact(vectors, k):
@@ -39,13 +39,30 @@ def test_few_vectors(spark, n):
     assert len(found(spark, rows)[1]) == n * (n - 1)
 
 
-def test_crowded_cells_are_divided_and_cut_into_blocks(spark):
-    # the limits are read on the executors, so a crowd is made by the data: a third of all vectors nearly the same
+def crowd():
     rng = np.random.default_rng(4)
     vectors = {f"v{k:05d}": (np.ones(8) + 1e-3 * rng.normal(size=8) if k % 3 == 0 else rng.normal(size=8)) for k in range(1500)}
-    _, got = found(spark, [(i, [float(x) for x in v]) for i, v in vectors.items()])
+    return [(i, [float(x) for x in v]) for i, v in vectors.items()]
+
+
+def test_a_third_of_all_vectors_nearly_the_same(spark):
+    _, got = found(spark, crowd())
     assert len(got) == 15000
-    assert all(int(b[1:]) % 3 == 0 for (a, b), place in got.items() if int(a[1:]) % 3 == 0)
+    assert all(int(b[1:]) % 3 == 0 for a, b in got if int(a[1:]) % 3 == 0)
+
+
+def test_crowded_cells_are_divided_and_cut_into_blocks(spark, monkeypatch):
+    whole = set(found(spark, crowd())[1])
+    monkeypatch.setattr(neighbours, "BLOCK", 16)  # read where cells are planned
+    cut = set(found(spark, crowd())[1])
+    assert len(cut) == 15000 and len(cut & whole) >= 0.999 * len(whole)
+    monkeypatch.setattr(neighbours, "CROWD", 20)
+    divided = set(found(spark, crowd())[1])
+    assert len(divided) == 15000 and len(divided & whole) >= 0.9 * len(whole)
+
+
+def test_spreading():
+    assert upto(np.array([3, 0, 2])).tolist() == [0, 1, 2, 0, 1] and upto(np.array([], int)).tolist() == []
 
 
 def test_encoding_by_beam_is_no_worse_than_greedy():
