@@ -24,7 +24,7 @@ from engram.plans.lineage import Scratch
 SAMPLE, STAGES, WORDS, BEAM = 20_000, 8, 256, 4
 LOOK, CELLS, RERANK = 600, 8, 160
 #: A first-code cell with more vectors than CROWD is divided by its second code. Blocks are of about BLOCK vectors.
-CROWD, BLOCK = 20_000, 4096
+CROWD, BLOCK = 4096, 4096
 
 
 def fit_codebooks(x: np.ndarray, stages: int = STAGES, words: int = WORDS, rounds: int = 8, seed: int = 11) -> np.ndarray:
@@ -195,25 +195,25 @@ def top_similar(df: DataFrame, id_col: str, vector: str, k: int = 10, size: int
         """Each vector once for every turn of lookers at its own block, and once per block of each cell that it looks into."""
         place, turns = known.value, shifts.value
         for batch in batches:
-            if not len(batch):
-                continue
-            salt = salts(batch["id"])
-            own = place.own(batch["c1"].to_numpy(), batch["c2"].to_numpy())
-            here = np.repeat(np.arange(len(batch)), turns[own])
-            there, cell = place.looks(matrix(batch["vec"]))
-            times = place.blocks[cell]
-            row = np.concatenate([here, np.repeat(there, times)])
-            looks = np.arange(len(row)) >= len(here)
-            yield pd.DataFrame({
-                "cell": np.concatenate([own[here], np.repeat(cell, times)]),
-                "block": np.concatenate([(salt % place.blocks[own])[here], upto(times)]),
-                "turn": np.concatenate([upto(turns[own]), np.repeat((salt[there] // 7919) % turns[cell], times)]),
-                "looks": looks,
-                "id": batch["id"].to_numpy()[row],
-                "vec": batch["vec"].to_numpy()[row],
-                "codes": np.where(looks, None, batch["codes"].to_numpy()[row]),
-                "norm": batch["norm"].to_numpy()[row],
-            })
+            for at in range(0, len(batch), 1024):
+                part = batch[at : at + 1024]
+                salt = salts(part["id"])
+                own = place.own(part["c1"].to_numpy(), part["c2"].to_numpy())
+                here = np.repeat(np.arange(len(part)), turns[own])
+                there, cell = place.looks(matrix(part["vec"]))
+                times = place.blocks[cell]
+                row = np.concatenate([here, np.repeat(there, times)])
+                looks = np.arange(len(row)) >= len(here)
+                yield pd.DataFrame({
+                    "cell": np.concatenate([own[here], np.repeat(cell, times)]),
+                    "block": np.concatenate([(salt % place.blocks[own])[here], upto(times)]),
+                    "turn": np.concatenate([upto(turns[own]), np.repeat((salt[there] // 7919) % turns[cell], times)]),
+                    "looks": looks,
+                    "id": part["id"].to_numpy()[row],
+                    "vec": part["vec"].to_numpy()[row],
+                    "codes": np.where(looks, None, part["codes"].to_numpy()[row]),
+                    "norm": part["norm"].to_numpy()[row],
+                })
 
     def score(group: pd.DataFrame) -> pd.DataFrame:
         looks = group["looks"].to_numpy()
