@@ -27,6 +27,9 @@ from engram.plans.lineage import Scratch
 BUCKETS, SOURCES, ROUNDS, PRIOR, OPEN = 1 << 18, 1024, 6, 0.002, 0.3
 #: A line that is clean with this probability, open-mindedly judged, is not judged again.
 SETTLED = 1 - 1e-7
+#: Doubtful lines teach the model of clean text less than their posterior, by this power of it, so that they cannot hold
+#: each other up as clean.
+DOUBT = 3
 #: Log-odds lost for a run that a chain could not have made, and the floor and ceiling of one run's evidence.
 IMPOSSIBLE, CEILING = -12.0, 25.0
 #: A lost character under the chains that lose characters has this log-probability.
@@ -231,7 +234,7 @@ class Learnt:
         """What a line says: as it stands if it is clean, and as its likeliest chain leaves it if it is not."""
         best = CHAINS[int(p[1:-1].argmax()) + 1]
         for a, run, b, cited in items:
-            self.text(a + run + b, float(p[0]))
+            self.text(a + run + b, float(p[0]) ** DOUBT)
             if p[0] < 0.5 and not cited and (real := undo(run, best)):
                 self.text(a + real + b, float(p[CHAINS.index(best)]))
         if group not in self.groups:
