@@ -26,15 +26,17 @@ def kind(text: Column) -> Column:
     return F.when(text.isNull(), F.lit(None).cast("string")).when(markdown, "markdown").when(code >= 3, "code").otherwise("plain")
 
 
-def category(text: Column) -> Column:
-    """The category with the most of its words in the text, or general."""
-    low = F.lower(text)
-    scores = [sum((F.contains(low, F.lit(w)).cast("int") for w in words), F.lit(0)).alias(name) for name, words in CATEGORIES.items()]
-    best = F.greatest(*scores)
-    out = F.lit("general")
-    for name, score in reversed(list(zip(CATEGORIES, scores, strict=True))):
-        out = F.when(score == best, name).otherwise(out)
-    return F.when(text.isNull(), F.lit(None).cast("string")).when(best == 0, "general").otherwise(out)
+def with_category(df: DataFrame, text: str, out: str = "category") -> DataFrame:
+    """Add the category with the most of its words in the text, or general; null text gives null.
+
+    The words found are a column of their own, so that a text is searched once for each.
+    """
+    low = df.withColumn("_low", F.lower(text))
+    scores = [sum((F.contains("_low", F.lit(w)).cast("int") for w in words), F.lit(0)) for words in CATEGORIES.values()]
+    scored = low.withColumn("_scores", F.array(*scores))
+    best = F.array_max("_scores")
+    name = F.element_at(F.array(*map(F.lit, CATEGORIES)), F.array_position("_scores", best).cast("int"))
+    return scored.withColumn(out, F.when(F.col(text).isNotNull(), F.when(best == 0, "general").otherwise(name))).drop("_low", "_scores")
 
 
 def outline(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -43,7 +43,7 @@ _BEST = f"greatest({', '.join(_SCORES)})"
 @query(f"SELECT doc_id, CASE WHEN {_BEST} = 0 THEN 'general' " + " ".join(f"WHEN {s} = {_BEST} THEN '{name}'" for name, s in zip(docs.CATEGORIES, _SCORES, strict=True)) + " END AS category FROM documents WHERE text IS NOT NULL")
 def document_categories(spark: SparkSession, folder: str) -> DataFrame:
     """The category that most of a document's words speak for."""
-    return table(spark, folder, "documents").filter("text IS NOT NULL").select("doc_id", docs.category(F.col("text")).alias("category"))
+    return docs.with_category(table(spark, folder, "documents").filter("text IS NOT NULL").select("doc_id", "text"), "text").drop("text")
 
 
 @query(

@@ -7,7 +7,7 @@ from engram.operators import documents, pairs, relations
 def test_kinds_categories_outlines_and_answers(spark):
     code = "import os\ndef f(x):\n    return x;\n"
     df = spark.createDataFrame([(1, "# T\nbody\n## Sub part \nend"), (2, code), (3, "a job. Learn about url links. done"), (4, ""), (5, None)], "id int, t string")
-    got = {r.id: r for r in df.select("id", documents.kind(F.col("t")).alias("k"), documents.category(F.col("t")).alias("c"), documents.answer(F.col("t"), "learn JOB").alias("a")).collect()}
+    got = {r.id: r for r in documents.with_category(df, "t", "c").select("id", "c", documents.kind(F.col("t")).alias("k"), documents.answer(F.col("t"), "learn JOB").alias("a")).collect()}
     assert [got[k].k for k in range(1, 6)] == ["markdown", "code", "plain", "plain", None]
     assert [got[k].c for k in range(1, 6)] == ["general", "general", "reference", "general", None]
     assert got[3].a == "a job. Learn about url links" and got[4].a == "" and got[5].a is None
