@@ -1,10 +1,17 @@
 """Searches: by words, phrase, time, key pattern and vector."""
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engram.functions.text import glob_regex, has_all_words, keyword_score
 
+#: Queries and rows that are compared at once; distances closer than SLACK are compared again, row by row.
+QUERY_BLOCK, ROW_BLOCK, SLACK = 512, 8192, 1e-9
+
 
 def keyword(df: DataFrame, text: str, query: str) -> DataFrame:
     """Rows with all words of the query, with their score."""
@@ -34,10 +41,63 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(x) == F.size(y)) & (norms > 0), dot(x, y) / norms).otherwise(0.0)
 
 
-def nearest(df: DataFrame, key: str, vector: str, query: DataFrame, k: int) -> DataFrame:
-    """The k rows nearest to one query vector (query: one row, column `wanted`): key, distance; ties by key."""
-    scored = df.crossJoin(F.broadcast(query.limit(1))).select(F.col(key), (1 - cosine(F.col(vector), F.col("wanted"))).alias("distance"))
-    return scored.orderBy("distance", key).limit(k)
+def _packed(df: DataFrame, key: str, vector: str, rows: int, name: str) -> DataFrame:
+    """Blocks of at most so many rows with vectors of one length; a null vector, or one with a null in it, has length 0."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for size, part in batch.groupby(batch["vector"].map(lambda v: 0 if v is None else len(v))):
+                for at in range(0, len(part), rows):
+                    block = part.iloc[at : at + rows]
+                    raw = np.stack(block["vector"].to_list()).astype(np.float64).tobytes() if size else b""
+                    yield pd.DataFrame({f"{name}_ids": [block["id"].to_list()], f"{name}_size": [size], f"{name}_raw": [raw]})
+
+    whole = F.col(vector).cast("array<double>")
+    given = df.select(F.col(key).alias("id"), F.when(~F.exists(whole, lambda x: x.isNull()), whole).alias("vector"))
+    return given.mapInPandas(pack, f"{name}_ids array<{given.schema['id'].dataType.simpleString()}>, {name}_size int, {name}_raw binary")
+
+
+def _best(wanted: np.ndarray, rows: np.ndarray, rank: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each wanted vector its k nearest rows and their distances; ties by rank. Near misses of the matrix product are compared exactly."""
+    if wanted.shape[1] != rows.shape[1] or not rows.shape[1]:
+        first = np.argsort(rank)[:k]
+        yield from ((i, first, np.ones(len(first))) for i in range(len(wanted)))
+        return
+    with np.errstate(all="ignore"):
+        long, far = np.sqrt((wanted * wanted).sum(1)), np.sqrt((rows * rows).sum(1))
+        norms = long[:, None] * far[None, :]
+        distance = 1 - np.where(norms == 0, 0.0, wanted @ rows.T / norms)
+        limit = np.partition(distance, min(k, len(rows)) - 1, axis=1)[:, min(k, len(rows)) - 1] + SLACK
+        for i, most in enumerate(limit):
+            at = np.arange(len(rows)) if np.isnan(most) else np.flatnonzero(distance[i] <= most)
+            exact = 1 - np.where(norms[i, at] == 0, 0.0, (rows[at] * wanted[i]).sum(1) / norms[i, at])
+            order = np.lexsort((rank[at], exact))[:k]
+            yield i, at[order], exact[order]
+
+
+def nearest(df: DataFrame, key: str, vector: str, queries: DataFrame, k: int) -> DataFrame:
+    """The k rows nearest to each query vector (queries: unique `query`, `wanted`): query, key, distance; ties by key.
+
+    Blocks of queries meet blocks of rows, and only the k best of a block go on. Vectors of another length, without length
+    or with nulls have distance 1.
+    """
+    left = _packed(queries.repartition("query"), "query", "wanted", QUERY_BLOCK, "q")
+    pairs = left.crossJoin(_packed(df, key, vector, ROW_BLOCK, "r"))
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for one in batch.itertuples(index=False):
+                wanted = np.frombuffer(one.q_raw, np.float64).reshape(len(one.q_ids), one.q_size)
+                rows = np.frombuffer(one.r_raw, np.float64).reshape(len(one.r_ids), one.r_size)
+                rank = np.empty(len(rows), np.int64)
+                rank[sorted(range(len(rows)), key=one.r_ids.__getitem__)] = np.arange(len(rows))
+                found = [(one.q_ids[i], one.r_ids[j], d) for i, at, far in _best(wanted, rows, rank, k) for j, d in zip(at, far, strict=True)]
+                yield pd.DataFrame(found, columns=["query", "key", "distance"])
+
+    kinds = [frame.schema[name].dataType.simpleString() for frame, name in ((queries, "query"), (df, key))]
+    scored = pairs.mapInPandas(score, f"query {kinds[0]}, key {kinds[1]}, distance double")
+    place = F.row_number().over(Window.partitionBy("query").orderBy("distance", "key"))
+    return scored.withColumn("place", place).filter(F.col("place") <= k).select("query", F.col("key").alias(key), "distance")
 
 
 def neighbours_in_time(df: DataFrame, key: str, us: str, within_us: int) -> DataFrame:

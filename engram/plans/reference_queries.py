@@ -113,20 +113,50 @@ _VECTORS = """WITH v AS (SELECT vec_id, embedding::DOUBLE[64] AS e FROM embeddin
 def semantic_topk(spark: SparkSession, folder: str) -> DataFrame:
     """The ten vectors nearest to the first one."""
     vectors = table(spark, folder, "embeddings")
-    wanted = vectors.orderBy("vec_id").limit(1).select(F.col("embedding").alias("wanted"))
-    return search.nearest(vectors, "vec_id", "embedding", wanted, 10).select("vec_id", F.round("distance", 6).alias("distance"))
+    wanted = vectors.orderBy("vec_id").limit(1).select(F.col("vec_id").alias("query"), F.col("embedding").alias("wanted"))
+    return search.nearest(vectors, "vec_id", "embedding", wanted, 10).orderBy("distance", "vec_id").select("vec_id", F.round("distance", 6).alias("distance"))
 
 
 @query(_VECTORS + " SELECT v.vec_id, d.source, round(1 - array_cosine_similarity(v.e, q.e), 6) AS distance FROM v JOIN documents d ON d.doc_id = v.vec_id, q WHERE contains(lower(d.text), 'memor') ORDER BY 1 - array_cosine_similarity(v.e, q.e), v.vec_id LIMIT 5")
 def hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
     """The five nearest vectors whose documents hold a word."""
     vectors = table(spark, folder, "embeddings")
-    wanted = vectors.orderBy("vec_id").limit(1).select(F.col("embedding").alias("wanted"))
+    wanted = vectors.orderBy("vec_id").limit(1).select(F.col("vec_id").alias("query"), F.col("embedding").alias("wanted"))
     texts = table(spark, folder, "documents").filter(F.contains(F.lower("text"), F.lit("memor"))).select(F.col("doc_id").alias("vec_id"), "source")
     near = search.nearest(vectors.join(texts, "vec_id", "left_semi"), "vec_id", "embedding", wanted, 5)
     return near.join(texts, "vec_id").select("vec_id", "source", F.round("distance", 6).alias("distance"))
 
 
+_EACH = "WITH v AS (SELECT vec_id, embedding::DOUBLE[64] AS e FROM embeddings), q AS (SELECT vec_id AS query_id, e AS wanted FROM v WHERE vec_id % 100 = 0)"
+
+
+def _wanted(vectors: DataFrame) -> DataFrame:
+    """The query set of a search: every vector whose id is divisible by 100."""
+    return vectors.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("wanted"))
+
+
+@query(
+    _EACH + """, s AS (SELECT query_id, vec_id, 1 - array_cosine_similarity(e, wanted) AS distance FROM v, q)
+    SELECT query_id, vec_id, round(distance, 6) AS distance FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s.distance, vec_id) <= 10"""
+)
+def semantic_topk_all(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten vectors nearest to each of the query set."""
+    vectors = table(spark, folder, "embeddings")
+    return search.nearest(vectors, "vec_id", "embedding", _wanted(vectors), 10).select(F.col("query").alias("query_id"), "vec_id", F.round("distance", 6).alias("distance"))
+
+
+@query(
+    _EACH + """, s AS (SELECT query_id, vec_id, source, 1 - array_cosine_similarity(e, wanted) AS distance FROM v JOIN documents d ON d.doc_id = v.vec_id, q WHERE contains(lower(d.text), 'memor'))
+    SELECT query_id, vec_id, source, round(distance, 6) AS distance FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s.distance, vec_id) <= 5"""
+)
+def hybrid_search_all(spark: SparkSession, folder: str) -> DataFrame:
+    """The five vectors nearest to each of the query set whose documents hold a word."""
+    vectors = table(spark, folder, "embeddings")
+    texts = table(spark, folder, "documents").filter(F.contains(F.lower("text"), F.lit("memor"))).select(F.col("doc_id").alias("vec_id"), "source")
+    near = search.nearest(vectors.join(texts, "vec_id", "left_semi"), "vec_id", "embedding", _wanted(vectors), 5)
+    return near.join(texts, "vec_id").select(F.col("query").alias("query_id"), "vec_id", "source", F.round("distance", 6).alias("distance"))
+
+
 _EDGES = "edges AS (SELECT least(source_id, target_id) AS a, greatest(source_id, target_id) AS b, max(weight) AS weight FROM memory_edges WHERE source_id IS NOT NULL AND target_id IS NOT NULL AND source_id <> target_id AND weight >= 0.7 AND NOT isnan(weight) GROUP BY 1, 2), ways AS (SELECT a AS node, b AS other, weight FROM edges UNION ALL SELECT b, a, weight FROM edges)"
 
 
