@@ -29,21 +29,23 @@ def relation(overall: Column, text: Column, structure: Column, time: Column) ->
     return out.when((overall >= 0.4) & (overall < 0.7) & (time >= 0.5), "complement").otherwise("similar")
 
 
-def compare(pairs: DataFrame, memories: DataFrame) -> DataFrame:
+def compare(pairs: DataFrame, memories: DataFrame, most: int | None = None) -> DataFrame:
     """Pairs (a, b) of memories (key, text, us, source) that both exist, with their similarities and relation.
 
-    Words are taken once per memory, before the joins. A null text counts as empty, an unknown time as far away.
+    places compares whole texts, or their first `most` characters if that is given. Words are taken once per memory, before
+    the joins. A null text counts as empty, an unknown time as far away.
     """
     side = memories.select("key", F.coalesce("text", F.lit("")).alias("text"), "us", "source").withColumn("words", content_words(F.col("text")))
     left = side.select(*[F.col(c).alias({"key": "a"}.get(c, f"{c}_a")) for c in side.columns])
     right = side.select(*[F.col(c).alias({"key": "b"}.get(c, f"{c}_b")) for c in side.columns])
     both = pairs.select("a", "b").join(left, "a").join(right, "b")
+    begin = [F.col(c) if most is None else F.substring(c, 1, most) for c in ("text_a", "text_b")]
     both = both.withColumns({
         "content": jaccard(F.col("words_a"), F.col("words_b")),
         "structure": (F.col("text_a") == F.col("text_b")).cast("double"),
         "time": F.coalesce(nearness((F.col("us_a") - F.col("us_b")) / 1e6), F.lit(0.0)),
         "metadata": F.coalesce((F.col("source_a") == F.col("source_b")).cast("double"), F.lit(0.5)),
-        "places": same_places(F.substring("text_a", 1, 100), F.substring("text_b", 1, 100)),
+        "places": same_places(*begin),
     })
     w = WEIGHTS
     both = both.withColumn("overall", w[0] * F.col("content") + w[1] * F.col("structure") + w[2] * F.col("time") + w[3] * F.col("metadata"))

@@ -79,7 +79,25 @@ _WORDS = r"list_filter(list_distinct(regexp_extract_all(lower(coalesce(text, '')
         WHEN overall >= 0.4 AND overall < 0.7 AND time >= 0.5 THEN 'complement' ELSE 'similar' END AS relation FROM o"""
 )
 def pair_similarity(spark: SparkSession, folder: str) -> DataFrame:
-    """Matched documents compared by text, time and metadata."""
+    """Matched documents compared by text, time and metadata; places are those of the first 100 characters."""
+    documents = table(spark, folder, "documents")
+    memories = documents.select(F.col("memory_key").alias("key"), "text", micros(documents, "created_at").alias("us"), "source")
+    found = pairs.compare(_pairs(spark, folder), memories, 100)
+    return found.select("a", "b", *(F.round(c, 6).alias(c) for c in ("content", "time", "places", "overall")), "relation")
+
+
+@query(
+    f"""WITH {_EDGES}, m AS (SELECT memory_key AS key, coalesce(text, '') AS text, epoch_us(created_at) AS us, source, {_WORDS} AS words FROM documents),
+    p AS (SELECT e.a, e.b, x.text AS ta, y.text AS tb, x.words AS wa, y.words AS wb, abs(x.us - y.us) / 1e6 AS gap, (x.source = y.source)::INT::DOUBLE AS same FROM edges e JOIN m x ON x.key = e.a JOIN m y ON y.key = e.b),
+    s AS (SELECT a, b, CASE WHEN len(wa) = 0 AND len(wb) = 0 THEN 1.0 ELSE len(list_intersect(wa, wb)) / greatest(len(wa) + len(wb) - len(list_intersect(wa, wb)), 1) END AS content, (ta = tb)::INT::DOUBLE AS structure,
+        coalesce(CASE WHEN gap <= 60 THEN 1.0 WHEN gap <= 300 THEN 0.9 WHEN gap <= 3600 THEN 0.7 WHEN gap <= 86400 THEN 0.5 WHEN gap <= 604800 THEN 0.3 WHEN gap <= 2592000 THEN 0.1 END, 0.0)::DOUBLE AS time, coalesce(same, 0.5) AS metadata,
+        CASE WHEN length(ta) = 0 OR length(tb) = 0 THEN 0.0 ELSE len(list_filter(list_zip(string_split(ta, ''), string_split(tb, ''), true), lambda p: p[1] = p[2])) / greatest(length(ta), length(tb)) END AS places FROM p),
+    o AS (SELECT *, 0.5 * content + 0.2 * structure + 0.1 * time + 0.2 * metadata AS overall FROM s)
+    SELECT a, b, round(content, 6) AS content, round(time, 6) AS time, round(places, 6) AS places, round(overall, 6) AS overall, CASE WHEN overall >= 0.95 THEN 'duplicate' WHEN time >= 0.7 AND content < 0.5 THEN 'temporal' WHEN structure >= 0.8 AND content < 0.5 THEN 'structural'
+        WHEN overall >= 0.4 AND overall < 0.7 AND time >= 0.5 THEN 'complement' ELSE 'similar' END AS relation FROM o"""
+)
+def pair_similarity_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """Matched documents compared by text, time and metadata, places over whole texts."""
     documents = table(spark, folder, "documents")
     memories = documents.select(F.col("memory_key").alias("key"), "text", micros(documents, "created_at").alias("us"), "source")
     found = pairs.compare(_pairs(spark, folder), memories)

@@ -26,6 +26,12 @@ def test_pairs(spark):
     assert [r.p for r in same] == [0.6, 0.0]
 
 
+def test_places_of_whole_texts(spark):
+    memories = spark.createDataFrame([("a", "x" * 100 + "y" * 300, 0, "s"), ("b", "x" * 100 + "z" * 300, 0, "s")], "key string, text string, us long, source string")
+    linked = spark.createDataFrame([("a", "b")], "a string, b string")
+    assert pairs.compare(linked, memories).first().places == 0.25 and pairs.compare(linked, memories, 100).first().places == 1.0
+
+
 def test_parents(spark):
     rows = [("c1", 1, ["A"]), ("c2", 1, ["A"]), ("c3", 1, ["A", "B"]), ("c3", 1, ["A", "B"]), ("c4", 2, ["A", "B"]), ("c5", 1, None), ("c6", None, ["A", "B"]), ("c7", 1, [])]
     got = relations.parents(spark.createDataFrame(rows, "id string, doc_id long, section_path array<string>")).collect()
