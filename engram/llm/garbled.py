@@ -38,7 +38,7 @@ ALPHA = 2.0
 CLEAN, LOSSY = "", "lost"
 
 RUN = re.compile(r"[^\x00-\x7f]+")
-#: Lines of these characters alone cannot be garbled by any chain here; they only teach the model.
+#: Of lines of these characters alone, only UTF-8 read as cp949 can have made some; the others only teach the model.
 PLAIN = re.compile(r"[\x00-\x7f가-힣]*")
 # Words that announce a cited character.
 CITES = ("sign", "symbol", "character", "char", "glyph", "mark", "zeichen", "signe", "caractère", "signo", "carácter", "문자", "기호")
@@ -117,6 +117,11 @@ def was_utf8(run: str) -> bool:
     return any(undo(run, chain) for chain, steps in STEPS.items() if len(steps) == 1 and steps[0][1] == "utf-8")
 
 
+@functools.lru_cache(200_000)
+def was_949(run: str) -> bool:
+    return undo(run, "utf8>949") is not None
+
+
 class Model:
     """Character bigrams, hashed; log-probabilities back off to single characters."""
 
@@ -277,7 +282,7 @@ class Judge:
         group = _group(source, field)
         if group not in self.known:
             self.known[group] = _priors(self.shares, group, self.prior)
-        if PLAIN.fullmatch(line):
+        if PLAIN.fullmatch(line) and not any(was_949(m) for m in RUN.findall(line)):
             return group, SURE, runs(line)
         return group, *posterior(line, self.known[group], self.model)
 

@@ -61,3 +61,13 @@ def test_runs_know_citations():
     assert [r[3] for r in runs("shows `Ã©` here")] == [True]
     assert [r[3] for r in runs("cafÃ© here")] == [False]
     assert [r[3] for r in runs("the sign � here, thing � there")] == [True, False]
+
+
+def test_latin_read_as_hangul_is_found(spark):
+    wrong = lambda s: s.encode().decode("cp949")
+    said = ["Le café {} est prêt", "Der größten Liste {} aus Zürich", "Le déjà vu {} du café"]
+    clean = [c.format(k) for k in range(40) for c in (*CLEAN, *said)] + ["찾은 항목은 차 한 대", "후 처 차 철", "한국어 찾"] * 5
+    bad = [c.format(k) for k in range(5) for c in said]
+    got = {r.key: r for r in garbled_lines(table(spark, clean + [wrong(c) for c in bad]), "id", "src", ["body"]).collect()}
+    assert set(got) == set(range(len(clean), len(clean) + len(bad)))
+    assert [got[len(clean) + k].restored for k in range(len(bad))] == bad
