@@ -34,6 +34,8 @@ DOUBT = 3
 IMPOSSIBLE, CEILING = -12.0, 25.0
 #: A lost character under the chains that lose characters has this log-probability.
 LOST = math.log(0.05)
+#: Shares of a line's runs that its chain may have made where it made not all of them, and how probable it is that it made all.
+PARTS, ALL = np.array([0.9, 0.5, 0.1, 0.01, 0.001]), 0.5
 ALPHA = 2.0
 CLEAN, LOSSY = "", "lost"
 
@@ -184,14 +186,45 @@ def evidence(item: tuple[str, str, str, bool], model: Model) -> np.ndarray:
     return out
 
 
-def posterior(line: str, prior: np.ndarray, model: Model) -> tuple[np.ndarray, list]:
+def _mixed(gains: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log-odds of each chain against a clean line, from its gains by run and chain, and how probably each run is the chain's.
+
+    Either the chain made all runs, or each run is its own choice between the chain and clean, at a share out of PARTS; at
+    least one run is the chain's.
+    """
+    n = len(gains)
+    part = PARTS[:, None, None]
+    each = np.log1p(part / (1 - part) * np.exp(gains))
+    none = n * np.log1p(-PARTS)[:, None]
+    total = each.sum(1)
+    # log(exp(total) - 1), whether total is tiny or huge
+    some = np.where(total > 30, total, np.log(np.expm1(np.minimum(total, 30)) + 1e-300))
+    ways = np.concatenate([gains.sum(0)[None] + math.log(ALL), none + some - np.log(-np.expm1(none)) + math.log((1 - ALL) / len(PARTS))])
+    most = ways.max(0)
+    weights = np.exp(ways - most)
+    weights /= weights.sum(0)
+    made = weights[0] + (weights[1:, None] * -np.expm1(-each)).sum(0)
+    return most + np.log(np.exp(ways - most).sum(0)), made
+
+
+def posterior(line: str, prior: np.ndarray, model: Model) -> tuple[np.ndarray, list, list[bool]]:
+    """Posterior of the chains, the runs, and which of them the likeliest chain but the clean one made."""
     items = runs(line)
-    score = prior.copy()
-    for item in items:
-        score += evidence(item, model)
+    gains = [evidence(item, model) for item in items]
+    score = prior + sum(gains)
+    made = {}
+    if len(items) > 1:
+        table = np.array(gains)
+        # no mixture gives more than the sum of the gains of the runs that speak for a chain
+        worth = np.flatnonzero(np.maximum(table, 0).sum(0) + prior > prior[0] - 3)
+        worth = worth[worth > 0]
+        if len(worth):
+            odds, shares = _mixed(table[:, worth])
+            score[worth] = prior[worth] + odds
+            made = {int(k): shares[:, at] > 0.5 for at, k in enumerate(worth)}
     score -= score.max()
     p = np.exp(score)
-    return p / p.sum(), items
+    return p / p.sum(), items, list(made.get(int(p[1:].argmax()) + 1, [True] * len(items)))
 
 
 def _group(source, field) -> str:
@@ -235,12 +268,12 @@ class Learnt:
         if weight > 0.001:
             self.texts[text] = self.texts.get(text, 0.0) + weight
 
-    def line(self, group: str, p: np.ndarray, items: list) -> None:
+    def line(self, group: str, p: np.ndarray, items: list, made: list[bool]) -> None:
         """What a line says: as it stands if it is clean, and as its likeliest chain leaves it if it is not."""
         best = CHAINS[int(p[1:-1].argmax()) + 1]
-        for a, run, b, cited in items:
-            self.text(a + run + b, float(p[0]) ** DOUBT)
-            if p[0] < 0.5 and not cited and (real := undo(run, best)):
+        for (a, run, b, cited), wrong in zip(items, made, strict=True):
+            self.text(a + run + b, float(p[0]) ** DOUBT if wrong else 1.0)
+            if p[0] < 0.5 and wrong and not cited and (real := undo(run, best)):
                 self.text(a + real + b, float(p[CHAINS.index(best)]))
         if group not in self.groups:
             self.groups[group] = np.zeros(len(CHAINS))
@@ -278,12 +311,13 @@ class Judge:
         self.shares, self.prior, self.model = shares, prior, Model(pairs, singles)
         self.known: dict[str, np.ndarray] = {}
 
-    def __call__(self, source, field, line: str) -> tuple[str, np.ndarray, list]:
+    def __call__(self, source, field, line: str) -> tuple[str, np.ndarray, list, list[bool]]:
         group = _group(source, field)
         if group not in self.known:
             self.known[group] = _priors(self.shares, group, self.prior)
         if PLAIN.fullmatch(line) and not any(was_949(m) for m in RUN.findall(line)):
-            return group, SURE, runs(line)
+            items = runs(line)
+            return group, SURE, items, [True] * len(items)
         return group, *posterior(line, self.known[group], self.model)
 
 
@@ -326,9 +360,9 @@ def _estimate(lines: DataFrame, scratch: Scratch) -> tuple[DataFrame, tuple[dict
         for batch in batches:
             keep = np.zeros(len(batch), bool)
             for k, (source, field, line) in enumerate(zip(batch["source"], batch["field"], batch["line"])):
-                group, p, items = judge(source, field, line)
+                group, p, items, made = judge(source, field, line)
                 if p[0] > SETTLED:
-                    learnt.line(group, p, items)
+                    learnt.line(group, p, items, made)
                 else:
                     keep[k] = True
             yield batch[keep].assign(what=None, at=None, n=None)
@@ -358,18 +392,19 @@ def garbled_lines(df: DataFrame, key: str, source: str | None, fields: Sequence[
         for batch in batches:
             rows = []
             for key, source, field, nth, line in zip(batch["key"], batch["source"], batch["field"], batch["nth"], batch["line"]):
-                _, p, _ = judge(source, field, line)
+                _, p, _, made = judge(source, field, line)
                 if p[0] < 0.5:
                     chain = CHAINS[int(p[1:].argmax()) + 1]
-                    rows.append((key, field, nth, line, chain, float(1 - p[0]), restore(line, chain)))
+                    rows.append((key, field, nth, line, chain, float(1 - p[0]), restore(line, chain, made)))
             yield pd.DataFrame(rows, columns=["key", "field", "nth", "line", "chain", "probability", "restored"])
 
     kind = lines.schema["key"].dataType.simpleString()
     return lines.mapInPandas(decide, f"key {kind}, field string, nth int, line string, chain string, probability double, restored string")
 
 
-def restore(line: str, chain: str) -> str | None:
-    """The line with every run undone that the chain can have made; None where characters are lost."""
+def restore(line: str, chain: str, made: Sequence[bool]) -> str | None:
+    """The line with every run undone that the chain made, as far as it can have; None where characters are lost."""
     if chain == LOSSY or "�" in line:
         return None
-    return RUN.sub(lambda m: undo(m.group(), chain) or m.group(), line)
+    wrong = iter(made)
+    return RUN.sub(lambda m: (next(wrong) and undo(m.group(), chain)) or m.group(), line)

@@ -71,3 +71,17 @@ def test_latin_read_as_hangul_is_found(spark):
     got = {r.key: r for r in garbled_lines(table(spark, clean + [wrong(c) for c in bad]), "id", "src", ["body"]).collect()}
     assert set(got) == set(range(len(clean), len(clean) + len(bad)))
     assert [got[len(clean) + k].restored for k in range(len(bad))] == bad
+
+
+def test_long_lines_garbled_in_part_are_found(spark):
+    clean = [c.format(k) for k in range(40) for c in CLEAN]
+    right = [" ".join(CLEAN[(n + k) % 3].format(k) for n in range(12)) for k in range(6)]
+    part = [(" ".join(CLEAN[(n + k) % 3].format(k) for n in range(6)), CLEAN[k % 3].format(k)) for k in range(6)]
+    bad = [f"{a} {WRONG['utf8>1252'](b)} {a}" for a, b in part]
+    lost = [a + " " + b.encode("cp1252", "ignore").decode("utf-8", "replace") for a, b in part]
+    texts = clean + right + bad + lost
+    got = {r.key: r for r in garbled_lines(table(spark, texts), "id", "src", ["body"]).collect()}
+    first = len(clean) + len(right)
+    assert set(got) == set(range(first, len(texts)))
+    assert [got[first + k].restored for k in range(len(bad))] == [f"{a} {b} {a}" for a, b in part]
+    assert all(got[first + len(bad) + k].restored is None for k in range(len(lost)))
