@@ -25,8 +25,9 @@ KINDS = ("email", "phone", "id_number", "address", "name")
 #: Tag 0 is outside; 1 + 2k begins kind k and 2 + 2k goes on with it.
 N_TAGS = 1 + 2 * len(KINDS)
 WINDOW, OVERLAP, MARGIN = 192, 64, 40
-#: Windows scored together; the longest stretch decided as one; characters of regions in memory at a time.
-BATCH, WHOLE, HELD = 256, 65_536, 2_000_000
+#: Windows scored together; the longest stretch decided as one; what two such pieces of a longer region share (their
+#: windows lie alike); characters of regions in memory at a time.
+BATCH, WHOLE, LAP, HELD = 256, 65_536, 1024, 2_000_000
 TRIGGER = re.compile(
     r"[@＠]|[(\[](?:at|AT)[)\]]| at [\w-]+ dot |\d{5}"
     r"|\d[ .()/-]{1,3}\d[\d .()/-]{4,}\d"
@@ -81,6 +82,14 @@ def windows(length: int) -> list[tuple[int, int]]:
     return [(s, s + WINDOW) for s in starts]
 
 
+def pieces(lo: int, hi: int) -> list[tuple[int, int, int, int]]:
+    """Overlapping pieces of a region: from, to, and from where to where spans may begin that are taken from the piece."""
+    if hi - lo <= WHOLE:
+        return [(lo, hi, lo, hi)]
+    starts = range(lo, hi - LAP, WHOLE - LAP)
+    return [(s, min(hi, s + WHOLE), s + LAP // 2 if s > lo else lo, hi if s + WHOLE >= hi else s + WHOLE - LAP // 2) for s in starts]
+
+
 def soft(x: np.ndarray) -> np.ndarray:
     return x / (1 + np.abs(x))
 
@@ -181,29 +190,29 @@ class Tagger:
     def spans(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
         """Mentions of each text: (start, end, kind), from the left."""
         out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-        where: list[tuple[int, int, int]] = []
+        where: list[tuple[int, int, int, int, int]] = []
         held = 0
         for k, text in enumerate(texts):
             for a, b in regions(text):
-                for lo in range(a, b, WHOLE):
-                    where.append((k, lo, min(b, lo + WHOLE)))
-                    held += where[-1][2] - lo
+                for piece in pieces(a, b):
+                    where.append((k, *piece))
+                    held += piece[1] - piece[0]
                     if held > HELD:
                         self._find(texts, where, out)
                         where, held = [], 0
         self._find(texts, where, out)
         return out
 
-    def _find(self, texts: list[str], where: list[tuple[int, int, int]], out: list[list[tuple[int, int, str]]]) -> None:
-        """Append the mentions in the given regions (text, from, to)."""
-        coded = {k: encode(texts[k]) for k in {k for k, _, _ in where}}
-        cuts = [(r, a, b) for r, (_, lo, hi) in enumerate(where) for a, b in windows(hi - lo)]
+    def _find(self, texts: list[str], where: list[tuple[int, int, int, int, int]], out: list[list[tuple[int, int, str]]]) -> None:
+        """Append the mentions that begin in the given parts of regions (text, from, to, begin from, begin before)."""
+        coded = {k: encode(texts[k]) for k in {k for k, *_ in where}}
+        cuts = [(r, a, b) for r, (_, lo, hi, *_) in enumerate(where) for a, b in windows(hi - lo)]
         scored = self.emissions([coded[where[r][0]][where[r][1] + a : where[r][1] + b] for r, a, b in cuts])
         merged: list[list] = [[] for _ in where]
         for (r, a, b), e in zip(cuts, scored, strict=True):
             merged[r].append((a, b, e))
         full = []
-        for (_, lo, hi), parts in zip(where, merged, strict=True):
+        for (_, lo, hi, *_), parts in zip(where, merged, strict=True):
             if len(parts) == 1:
                 full.append(parts[0][2])
                 continue
@@ -213,8 +222,9 @@ class Tagger:
                 better = d > depth[a:b]
                 e[a:b][better], depth[a:b][better] = s[better], d[better]
             full.append(e)
-        for (k, lo, _), tags in zip(where, self.viterbi(full), strict=True):
-            out[k] += [s for s in to_spans(tags, lo) if plausible(texts[k][s[0] : s[1]], s[2])]
+        for (k, lo, _, since, until), tags in zip(where, self.viterbi(full), strict=True):
+            since = max(since, out[k][-1][1] if out[k] else 0)
+            out[k] += [s for s in to_spans(tags, lo) if since <= s[0] < until and plausible(texts[k][s[0] : s[1]], s[2])]
 
 
 def to_spans(tags: np.ndarray, at: int = 0) -> list[tuple[int, int, str]]:

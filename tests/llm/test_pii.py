@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from engram.llm.pii import KINDS, N_TAGS, WINDOW, Tagger, masked, mentions, plausible, regions, to_spans, windows
+from engram.llm.pii import KINDS, LAP, N_TAGS, WHOLE, WINDOW, Tagger, masked, mentions, plausible, regions, to_spans, windows
 from engram.llm.pii_training import Trainer, label, tags_of
 from pyspark.sql import functions as F
 
@@ -98,3 +98,13 @@ def test_spans_and_checks():
     tags = np.array([0, 1, 2, 2, 1, 0, 3, 4])
     assert to_spans(tags, 10) == [(11, 14, "email"), (14, 15, "email"), (16, 18, "phone")]
     assert plausible("a@b.example", "email") and not plausible("@dataclass"[:5], "email") and not plausible("12", "phone") and len(KINDS) == 5
+
+
+def test_mentions_across_the_pieces_of_a_long_region():
+    unit = "Please call +33 1 99 00 89 55 or write. "
+    for cut in (WHOLE, WHOLE - LAP // 2):
+        texts = ("12345 " + "x" * pad + " " + unit * (WHOLE * 5 // 4 // len(unit)) for pad in range(len(unit)))
+        text = next(t for t in texts if t[cut - 3 : cut + 5] == "99 00 89")
+        assert regions(text)[0][0] == 0 and len(regions(text)) == 1
+        found = Tagger.load().spans([text])[0]
+        assert [s[2] for s in found] == ["phone"] * text.count("+33") and {text[a:b] for a, b, _ in found} == {"+33 1 99 00 89 55"}
