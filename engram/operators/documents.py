@@ -47,8 +47,8 @@ def outline(df: DataFrame, key: str, text: str) -> DataFrame:
     return heads.select(F.col("key").alias(key), "nth", "level", F.concat(F.repeat(F.lit("  "), F.col("level") - 1), F.lit("- "), title).alias("entry"))
 
 
-def answer(text: Column, query: str, most: int = 500) -> Column:
-    """Sentences of the text that hold a query word, joined, at most so many characters; empty if there are none."""
+def answer(text: Column, query: str, most: int | None = 500) -> Column:
+    """Sentences of the text that hold a query word, joined, at most so many characters (None: all); empty if there are none."""
     terms = query.lower().split()
 
     def hit(sentence: Column) -> Column:
@@ -58,4 +58,5 @@ def answer(text: Column, query: str, most: int = 500) -> Column:
         return out
 
     said = F.filter(F.transform(F.split(text, r"\."), lambda s: F.trim(s)), hit)
-    return F.substring(F.array_join(said, ". "), 1, most)
+    whole = F.array_join(said, ". ")
+    return whole if most is None else F.substring(whole, 1, most)

@@ -65,6 +65,16 @@ def answer_sentences(spark: SparkSession, folder: str) -> DataFrame:
     return hits.select("doc_id", docs.answer(F.col("text"), "vector index").alias("answer"))
 
 
+@query(
+    """SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, '.'), lambda s: trim(s)), lambda s: contains(lower(s), 'vector') OR contains(lower(s), 'index')), '. ') AS answer
+    FROM documents WHERE contains(lower(text), 'vector') AND contains(lower(text), 'index')"""
+)
+def answer_sentences_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """All that documents say to a query."""
+    hits = table(spark, folder, "documents").filter(has_all_words(F.col("text"), "vector index"))
+    return hits.select("doc_id", docs.answer(F.col("text"), "vector index", None).alias("answer"))
+
+
 _WORDS = r"list_filter(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')), lambda w: w NOT IN (" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "))"
 
 

@@ -14,6 +14,11 @@ def test_kinds_categories_outlines_and_answers(spark):
     assert [(r.nth, r.level, r.entry) for r in documents.outline(df, "id", "t").orderBy("nth").collect()] == [(0, 1, "- T"), (2, 2, "  - Sub part")]
 
 
+def test_answers_of_any_length(spark):
+    df = spark.createDataFrame([("a job here. " * 100,)], "t string")
+    assert df.select(documents.answer(F.col("t"), "job", None).alias("a")).first().a == ". ".join(["a job here"] * 100)
+
+
 def test_pairs(spark):
     memories = spark.createDataFrame([("a", "The red cat sat", 0, "s"), ("b", "red cat sat", 30_000_000, "s"), ("c", None, None, None), ("d", "", None, "s")], "key string, text string, us long, source string")
     linked = spark.createDataFrame([("a", "b"), ("a", "c"), ("c", "d"), ("a", "gone")], "a string, b string")
