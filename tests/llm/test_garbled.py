@@ -1,6 +1,6 @@
 import pytest
 
-from engram.llm.garbled import garbled_lines, runs, undo
+from engram.llm.garbled import garbled_lines, items, undo
 
 CLEAN = ["Für Lauf {} gilt: die Prüfsumme löscht die größten Schlüssel übrigens später", "D’après le rapport {}, l’équipe a vérifié les entrées périmées", "En la sesión {} añadió el límite según la configuración", "{}번 메모: 기억 저장소가 오래된 항목을 확인했습니다", "It’s likely that run {} hasn’t finished — see “notes”…"]
 WRONG = {
@@ -57,10 +57,34 @@ def test_undoing(text):
     assert undo(text, "utf8>1252") is None
 
 
-def test_runs_know_citations():
-    assert [r[3] for r in runs("shows `Ã©` here")] == [True]
-    assert [r[3] for r in runs("cafÃ© here")] == [False]
-    assert [r[3] for r in runs("the sign � here, thing � there")] == [True, False]
+def test_runs_know_where_they_stand():
+    assert [t[0] for t in items("shows `Ã©` here")] == ["2"]
+    assert [t[0] for t in items("cafÃ© here")] == ["0"]
+    assert [t[0] for t in items("the sign � here, co�te")] == ["1", "0"]
+    assert items("the sign � here")[0][1:5] == items("a Sign – b")[0][1:5] != items("a mark – b")[0][1:5]
+    assert [t[6:-1] for t in items("said “cafÃ©” there")] == ["“", "Ã©", "”"]
+    assert items("plain") == []
+
+
+def test_lines_of_which_little_is_known(spark):
+    """Garbled words among few clean lines, and quoted garbled words; cited characters are no case."""
+    clean = [c.format(k) for k in range(40) for c in CLEAN]
+    bad = ["Plan caf챕 noir", "Z체rich", "m챕moire vive 챕t챕", "gr철횩e M체ller", 'The note said "í•œêµ\xadì–´"', "The note said í•œêµ\xadì–´", "The note said “í•œêµ\xadì–´” twice"]
+    cites = ["The importer showed `Ã©` where `é` was meant.", "Search the dump for the sign � before you sign off.", "Look for “â€™” in the log", "It showed 'Ã¼' again"] * 5
+    got = {r.line for r in garbled_lines(table(spark, clean + bad + cites), "id", "src", ["body"]).collect()}
+    assert got == set(bad)
+
+
+def test_sources_beyond_those_held_by_tasks(spark, monkeypatch):
+    """Shares joined to the lines give what shares in the tasks' hands give."""
+    from engram.llm import garbled
+
+    texts = [c.format(k) for k in range(30) for c in CLEAN] + [WRONG["1252>mac"](c.format(k)) for k in range(4) for c in CLEAN[:3]]
+    df = table(spark, texts).selectExpr("id", "body", "IF(id % 3 = 0, NULL, concat('s', id % 5)) AS src")
+    said = lambda: sorted((r.key, r.chain, r.restored, round(r.probability, 6)) for r in garbled_lines(df, "id", "src", ["body"]).collect())
+    held = said()
+    monkeypatch.setattr(garbled, "FEW_GROUPS", 2)
+    assert said() == held and len(held) >= 10
 
 
 def test_latin_read_as_hangul_is_found(spark):
