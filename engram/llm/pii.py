@@ -1,19 +1,19 @@
 """Personal data in free text: a character-level bidirectional LSTM with CRF transitions, in numpy.
 
-Texts are read around triggers (digits, at-signs, runs of capitals and the like: a loose, cheap net
-that any mention passes); each such region is cut into overlapping windows, the LSTM scores the tags
-of every character of a window, overlaps keep the scores of the window in which a character lies
-further from the edge, and one Viterbi pass over the whole region decides all its tags at once.
-Spark hands batches of whole texts to the workers; rows are independent and nothing is shuffled but
-the mentions found.
+Every character of every text is read. A text is cut into overlapping windows; the LSTM scores the
+tags of each character of a window, and of two windows that overlap each gives the scores of its half
+of the overlap, so that all characters are scored with what stands on both sides of them. The best
+tags are then decided globally over the whole text, however long: characters that must be outside in
+any best path (see Tagger.sure) divide a text into stretches that can be decided apart without a
+change of the result, and all stretches of many texts are decided together.
 
-The weights were trained by pii_training.py and lie beside this file.
+Spark hands batches of whole texts to the workers; rows are independent and nothing is shuffled but
+the mentions found. The weights were trained by pii_training.py and lie beside this file.
 """
 
 import functools
 import io
 import pkgutil
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,18 +24,11 @@ from pyspark.sql import functions as F
 KINDS = ("email", "phone", "id_number", "address", "name")
 #: Tag 0 is outside; 1 + 2k begins kind k and 2 + 2k goes on with it.
 N_TAGS = 1 + 2 * len(KINDS)
-WINDOW, OVERLAP, MARGIN = 192, 64, 40
-#: Windows scored together; the longest stretch decided as one; what two such pieces of a longer region share (their
-#: windows lie alike); characters of regions in memory at a time.
-BATCH, WHOLE, LAP, HELD = 256, 65_536, 1024, 2_000_000
-TRIGGER = re.compile(
-    r"[@＠]|[(\[](?:at|AT)[)\]]| at [\w-]+ dot |\d{5}"
-    r"|\d[ .()/-]{1,3}\d[\d .()/-]{4,}\d"
-    r"|\d+[a-z]?,? +(?:[^\W\d_a-z]|rue|bd|av|place|quai|[a-z]+ (?:street|st|avenue|ave|lane|blvd|close|terrace|road|drive)\b)|[^\W\d_]+(?:,| n\.º|\.) ?(?:n\.º )?\d+"
-    r"|(?:str\.|straße|weg|gasse|platz|allee|ufer|Speicher|mühle) \d|[가-힣](?:로|길|동|호) ?\d|(?:로|길) \d"
-    r"|\b[A-ZÀ-Þ][\w’'-]*[,.]? +[A-ZÀ-Þ]|\b[Qq][Qq][ -]?\d"
-    r"|\b(?:[Mm]r|[Mm]rs|[Mm]s|[Dd]r|[Pp]rof|[Ss]r|[Ss]ra|[Hh]err|[Ff]rau|[Mm]me)\b"
-)
+WINDOW, OVERLAP = 256, 64
+#: Windows scored together; steps whose states are held at a time; characters whose scores are in memory at a time.
+BATCH, STEPS, HELD = 256, 16, 1_000_000
+#: Score of what a tag sequence must not do.
+NEVER = -1e4
 
 
 @functools.cache
@@ -62,50 +55,48 @@ def encode(text: str) -> np.ndarray:
     return classes()[np.minimum(points, 65535)]
 
 
-def regions(text: str) -> list[tuple[int, int]]:
-    """Stretches of a text around its triggers, each with a margin on both sides; close ones are one."""
-    out: list[tuple[int, int]] = []
-    for m in TRIGGER.finditer(text):
-        a, b = max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
-
-
 def windows(length: int) -> list[tuple[int, int]]:
-    """Overlapping windows that cover a region of that length."""
+    """Windows of equal size that cover a text of that length; neighbours share OVERLAP characters or more."""
     if length <= WINDOW:
-        return [(0, length)]
-    starts = list(range(0, length - WINDOW, WINDOW - OVERLAP)) + [length - WINDOW]
-    return [(s, s + WINDOW) for s in starts]
-
-
-def pieces(lo: int, hi: int) -> list[tuple[int, int, int, int]]:
-    """Overlapping pieces of a region: from, to, and from where to where spans may begin that are taken from the piece."""
-    if hi - lo <= WHOLE:
-        return [(lo, hi, lo, hi)]
-    starts = range(lo, hi - LAP, WHOLE - LAP)
-    return [(s, min(hi, s + WHOLE), s + LAP // 2 if s > lo else lo, hi if s + WHOLE >= hi else s + WHOLE - LAP // 2) for s in starts]
+        return [(0, length)] if length else []
+    n = -(-(length - OVERLAP) // (WINDOW - OVERLAP))
+    size = -(-(length + (n - 1) * OVERLAP) // n)
+    return [(a, a + size) for a in (k * (length - size) // (n - 1) for k in range(n))]
 
 
-def soft(x: np.ndarray) -> np.ndarray:
-    return x / (1 + np.abs(x))
+def owned(cuts: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The part of the text that each window decides: up to the middle of what it shares with its neighbours."""
+    edges = [0, *((b + c) // 2 for (_, b), (c, _) in zip(cuts, cuts[1:])), cuts[-1][1]] if cuts else []
+    return list(zip(edges, edges[1:]))
 
 
 class Tagger:
-    """wx: direction, class, 4H; wh: direction, H, 4H; out: 2H, tags; bias: tags; trans: tags, tags.
+    """wx: direction, class, 4H; wh: direction, H, 4H; out: 2H, tags; bias, start: tags; trans: tags, tags.
 
-    Gates are clip(x / 4 + 1/2, 0, 1), the squashing is x / (1 + |x|): cheap in numpy, and what the
+    Gates (in, keep, out) are clip(x / 4 + 1/2, 0, 1), the squashing is x / (1 + |x|): cheap in numpy, and what the
     weights were trained with.
     """
 
     def __init__(self, weights: dict[str, np.ndarray]):
-        self.w = {k: np.ascontiguousarray(v, np.float32) for k, v in weights.items()}
-        t = self.w["trans"]
-        #: No path that leaves tag 0 can win by more than this over the scores along it, per step.
-        self.gain = max(0.0, float((t - t[0, 0]).max()))
+        self.w = w = {k: np.array(v, np.float32) for k, v in weights.items()}
+        size = self.size = w["wh"].shape[1]
+        wx, wh = w["wx"].reshape(2, -1, 4, size).copy(), w["wh"].reshape(2, size, 4, size).copy()
+        # clip(v, 0, 1) is |v/2| - |v/2 - 1/2| + 1/2, and v/2 is computed at once
+        wx[:, :, :3] = wx[:, :, :3] / 8 + 0.25
+        wh[:, :, :3] /= 8
+        self.wx = np.ascontiguousarray(wx.reshape(-1, 4, size).transpose(1, 0, 2))
+        self.wh = np.ascontiguousarray(wh.transpose(2, 0, 1, 3))
+        # only a mention's own characters may go on with it
+        for k in range(len(KINDS)):
+            others = [a for a in range(N_TAGS) if a not in (1 + 2 * k, 2 + 2 * k)]
+            w["trans"][others, 2 + 2 * k] = w["start"][2 + 2 * k] = NEVER
+        t, start, kinds = w["trans"], w["start"], range(len(KINDS))
+        #: The most that a mention wins by transitions over the outside: at its ends, and for each character.
+        begin = max(max(float((t[:, 1 + 2 * k] - t[:, 0]).max()), float(start[1 + 2 * k] - start[0])) for k in kinds)
+        plain = [0, *(1 + 2 * k for k in kinds)]
+        end = max(0.0, *(float((t[tag, plain] - t[0, plain]).max()) for tag in range(1, N_TAGS)))
+        self.step = max(max(float(t[1 + 2 * k, 2 + 2 * k]), float(t[2 + 2 * k, 2 + 2 * k])) for k in kinds) - float(t[0, 0])
+        self.ends = begin + end - min(self.step, 0.0)
 
     @classmethod
     @functools.cache
@@ -113,119 +104,150 @@ class Tagger:
         with np.load(io.BytesIO(pkgutil.get_data(__package__, "pii_weights.npz"))) as f:
             return cls({k: f[k].astype(np.float32) for k in f.files})
 
-    def emissions(self, seqs: list[np.ndarray]) -> list[np.ndarray]:
-        """Scores of the tags at each character of each window."""
-        out: list[np.ndarray] = [np.zeros((0, N_TAGS), np.float32)] * len(seqs)
-        order = sorted(range(len(seqs)), key=lambda k: len(seqs[k]))
-        for at in range(0, len(order), BATCH):
-            part = order[at : at + BATCH]
-            e = self._batch([seqs[k] for k in part])
-            for row, k in enumerate(part):
-                out[k] = e[: len(seqs[k]), row]
-        return out
-
-    def _batch(self, seqs: list[np.ndarray]) -> np.ndarray:
-        n, lengths = len(seqs), np.array([len(s) for s in seqs])
-        longest = int(lengths.max())
-        x = np.zeros((2, longest, n), np.int64)
+    def scores(self, seqs: list[np.ndarray]) -> np.ndarray:
+        """Scores of the tags at each character of each window: longest, windows, tags."""
+        n, size, lengths = len(seqs), self.size, [len(s) for s in seqs]
+        longest = max(lengths)
+        x = np.zeros((longest, 2, n), np.int64)
         for row, s in enumerate(seqs):
-            x[0, : len(s), row] = s
-            x[1, : len(s), row] = s[::-1]
-        wx, wh = self.w["wx"], self.w["wh"]
-        size = wh.shape[1]
-        h = np.zeros((2, n, size), np.float32)
-        c = np.zeros((2, n, size), np.float32)
-        states = np.empty((longest, 2, n, size), np.float32)
-        z = np.empty((2, n, 4 * size), np.float32)
+            x[: len(s), 0, row] = s
+            x[: len(s), 1, row] = s[::-1]
+        x[:, 1] += self.wx.shape[1] // 2
+        x = x.reshape(longest, 2 * n)
+        out = self.w["out"].reshape(2, size, N_TAGS)
+        h, c = np.zeros((2, n, size), np.float32), np.zeros((2, n, size), np.float32)
+        states = np.empty((STEPS, 2, n, size), np.float32)
+        both = np.empty((2, longest, n, N_TAGS), np.float32)
+        z, seen = np.empty((4, 2, n, size), np.float32), np.empty((4, 2 * n, size), np.float32)
+        flat, halves, new, gates = z.reshape(4, 2 * n, size), z[:3], z[3], np.empty((3, 2, n, size), np.float32)
+        into, keep, give = gates
+        u, d = np.empty_like(h), np.empty_like(h)
         for t in range(longest):
-            np.matmul(h, wh, out=z)
-            z[0] += wx[0][x[0, t]]
-            z[1] += wx[1][x[1, t]]
-            gates = z[:, :, : 3 * size]
-            gates *= 0.25
+            np.matmul(h, self.wh, out=z)
+            for k in range(4):
+                np.take(self.wx[k], x[t], axis=0, out=seen[k], mode="clip")
+            flat += seen
+            np.abs(halves, out=gates)
+            halves -= 0.5
+            np.abs(halves, out=halves)
+            gates -= halves
             gates += 0.5
-            np.clip(gates, 0, 1, out=gates)
-            c *= gates[:, :, size : 2 * size]
-            c += gates[:, :, :size] * soft(z[:, :, 3 * size :])
-            h = gates[:, :, 2 * size :] * soft(c)
-            states[t] = h
-        back = np.zeros((longest, n), np.int64)
+            np.abs(new, out=d)
+            d += 1
+            np.divide(new, d, out=u)
+            u *= into
+            c *= keep
+            c += u
+            np.abs(c, out=d)
+            d += 1
+            np.divide(c, d, out=d)
+            at = t % STEPS
+            h = np.multiply(give, d, out=states[at])
+            if at == STEPS - 1 or t == longest - 1:
+                for way in (0, 1):
+                    both[way, t - at : t + 1] = (states[: at + 1, way].reshape(-1, size) @ out[way]).reshape(at + 1, n, N_TAGS)
+        e = both[0]
         for row, k in enumerate(lengths):
-            back[:k, row] = np.arange(k - 1, -1, -1)
-        both = states[:, 0] @ self.w["out"][:size] + (states[:, 1] @ self.w["out"][size:])[back, np.arange(n)[None, :]]
-        return both + self.w["bias"]
-
-    def viterbi(self, scores: list[np.ndarray]) -> list[np.ndarray]:
-        """Best tags of each region; where no tag can ever beat the outside, that is known without a search."""
-        out = [np.zeros(len(s), np.int8) for s in scores]
-        live = [k for k, s in enumerate(scores) if len(s) and (s[:, 1:].max(1) - s[:, 0]).max() + self.gain > 0]
-        live.sort(key=lambda k: len(scores[k]))
+            e[:k, row] += both[1, :k, row][::-1]
+        return e + self.w["bias"]
+
+    def sure(self, e: np.ndarray) -> np.ndarray:
+        """Characters that no best path tags: every stretch that holds them would lose more by its scores than transitions can win."""
+        worth = (e[:, 1:].max(1) - e[:, 0]).astype(np.float64) + self.step
+        total = np.cumsum(worth)
+        before = np.concatenate([[0.0], total[:-1]])
+        # the best stretch that begins somewhere and ends here, and the best that begins here
+        till = total - np.minimum.accumulate(before)
+        since = np.maximum.accumulate(total[::-1])[::-1] - before
+        return till + since - worth + self.ends < -1e-3
+
+    def decide(self, scores: np.ndarray, stretches: np.ndarray) -> dict[int, np.ndarray]:
+        """Best tags of the stretches that have any, by number.
+
+        stretches: from, to, whether it begins its text, whether it ends it; other neighbours are outside.
+        """
+        out: dict[int, np.ndarray] = {}
+        sizes = stretches[:, 1] - stretches[:, 0]
+        order = np.argsort(sizes, kind="stable")
         trans, start = self.w["trans"], self.w["start"]
-        for at in range(0, len(live), BATCH):
-            part = live[at : at + BATCH]
-            longest = len(scores[part[-1]])
-            e = np.zeros((longest, len(part), N_TAGS), np.float32)
-            lengths = np.array([len(scores[k]) for k in part])
-            for row, k in enumerate(part):
-                e[: lengths[row], row] = scores[k]
-            best = start + e[0]
-            came = np.zeros((longest, len(part), N_TAGS), np.int8)
+        back = np.ascontiguousarray(trans.T)
+        for at in range(0, len(order), 2 * BATCH):
+            part = order[at : at + 2 * BATCH]
+            lengths = sizes[part]
+            longest = int(lengths[-1])
+            steps = np.arange(longest)[:, None]
+            e = np.ascontiguousarray(scores[stretches[part, 0] + np.minimum(steps, lengths - 1)].transpose(0, 2, 1))
+            best = np.empty_like(e)
+            best[0] = np.where(stretches[part, 2], start[:, None], trans[0][:, None]) + e[0]
             for t in range(1, longest):
-                way = best[:, :, None] + trans
-                came[t] = way.argmax(1)
-                then = way.max(1) + e[t]
-                best = np.where((t < lengths)[:, None], then, best)
-            tag = best.argmax(1)
-            rows = np.arange(len(part))
+                np.add((best[t - 1] + back[:, :, None]).max(1), e[t], out=best[t])
+            leave = np.where(stretches[part, 3], 0, trans[:, 0][:, None])
+            tag = np.zeros(len(part), np.int64)
             tags = np.zeros((longest, len(part)), np.int8)
             for t in range(longest - 1, -1, -1):
-                inside = t < lengths
-                tags[t] = np.where(inside, tag, 0)
-                if t:
-                    tag = np.where(inside, came[t, rows, tag], tag)
-            for row, k in enumerate(part):
-                out[k] = tags[: lengths[row], row]
+                ends, inside = t == lengths - 1, t < lengths - 1
+                if ends.any():
+                    tag = np.where(ends, (best[t] + leave).argmax(0), tag)
+                if inside.any():
+                    tag = np.where(inside, (best[t] + trans[:, tag]).argmax(0), tag)
+                tags[t] = np.where(t < lengths, tag, 0)
+            for row in np.flatnonzero(tags.any(0)):
+                out[int(part[row])] = tags[: lengths[row], row]
         return out
 
     def spans(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
-        """Mentions of each text: (start, end, kind), from the left."""
-        out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-        where: list[tuple[int, int, int, int, int]] = []
+        """Mentions of each text: (start, end, kind), from the left. Texts that are equal are read once."""
+        once = {text: k for k, text in enumerate(dict.fromkeys(texts))}
+        found = self._spans(list(once))
+        return [found[once[text]] for text in texts]
+
+    def _spans(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
+        """Some texts at a time, HELD characters or one text."""
+        out: list[list[tuple[int, int, str]]] = []
+        some: list[str] = []
         held = 0
-        for k, text in enumerate(texts):
-            for a, b in regions(text):
-                for piece in pieces(a, b):
-                    where.append((k, *piece))
-                    held += piece[1] - piece[0]
-                    if held > HELD:
-                        self._find(texts, where, out)
-                        where, held = [], 0
-        self._find(texts, where, out)
+        for text in texts:
+            if some and held + len(text) > HELD:
+                out += self._find(some)
+                some, held = [], 0
+            some.append(text)
+            held += len(text)
+        return out + self._find(some)
+
+    def emissions(self, texts: list[str]) -> np.ndarray:
+        """Scores of the tags at each character of all texts, one text after the other."""
+        e = np.empty((sum(map(len, texts)), N_TAGS), np.float32)
+        todo, at = [], 0  # window, where its own characters lie in it, where among all
+        for text in texts:
+            coded, cuts = encode(text), windows(len(text))
+            todo += [(coded[a:b], lo - a, hi - a, at + lo) for (a, b), (lo, hi) in zip(cuts, owned(cuts), strict=True)]
+            at += len(text)
+        todo.sort(key=lambda w: len(w[0]))
+        for at in range(0, len(todo), BATCH):
+            part = todo[at : at + BATCH]
+            scored = self.scores([w[0] for w in part])
+            for row, (_, lo, hi, place) in enumerate(part):
+                e[place : place + hi - lo] = scored[lo:hi, row]
+        return e
+
+    def _find(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
+        out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
+        e = self.emissions(texts)
+        place = np.flatnonzero(~self.sure(e))
+        if not len(place):
+            return out
+        sizes = np.array([len(t) for t in texts])
+        ends = np.cumsum(sizes)
+        text = np.searchsorted(ends, place, side="right")
+        cut = np.flatnonzero((np.diff(place) > 1) | (np.diff(text) > 0)) + 1
+        from_, to = place[np.concatenate([[0], cut])], place[np.concatenate([cut - 1, [len(place) - 1]])] + 1
+        text = text[np.concatenate([[0], cut])]
+        first = (ends - sizes)[text]
+        stretches = np.stack([from_, to, from_ == first, to == ends[text]], axis=1)
+        for n, tags in sorted(self.decide(e, stretches).items()):
+            out[text[n]] += to_spans(tags, int(from_[n] - first[n]))
         return out
 
-    def _find(self, texts: list[str], where: list[tuple[int, int, int, int, int]], out: list[list[tuple[int, int, str]]]) -> None:
-        """Append the mentions that begin in the given parts of regions (text, from, to, begin from, begin before)."""
-        coded = {k: encode(texts[k]) for k in {k for k, *_ in where}}
-        cuts = [(r, a, b) for r, (_, lo, hi, *_) in enumerate(where) for a, b in windows(hi - lo)]
-        scored = self.emissions([coded[where[r][0]][where[r][1] + a : where[r][1] + b] for r, a, b in cuts])
-        merged: list[list] = [[] for _ in where]
-        for (r, a, b), e in zip(cuts, scored, strict=True):
-            merged[r].append((a, b, e))
-        full = []
-        for (_, lo, hi, *_), parts in zip(where, merged, strict=True):
-            if len(parts) == 1:
-                full.append(parts[0][2])
-                continue
-            e, depth = np.zeros((hi - lo, N_TAGS), np.float32), np.full(hi - lo, -1)
-            for a, b, s in parts:
-                d = np.minimum(np.arange(b - a) + (0 if a else WINDOW), np.arange(b - a)[::-1] + (0 if b < hi - lo else WINDOW))
-                better = d > depth[a:b]
-                e[a:b][better], depth[a:b][better] = s[better], d[better]
-            full.append(e)
-        for (k, lo, _, since, until), tags in zip(where, self.viterbi(full), strict=True):
-            since = max(since, out[k][-1][1] if out[k] else 0)
-            out[k] += [s for s in to_spans(tags, lo) if since <= s[0] < until and plausible(texts[k][s[0] : s[1]], s[2])]
-
 
 def to_spans(tags: np.ndarray, at: int = 0) -> list[tuple[int, int, str]]:
     out, t, n = [], 0, len(tags)
@@ -241,20 +263,6 @@ def to_spans(tags: np.ndarray, at: int = 0) -> list[tuple[int, int, str]]:
     return out
 
 
-def plausible(text: str, kind: str) -> bool:
-    """An exact check of what the tagger found: the least that a mention of its kind must hold."""
-    digits = sum(ch.isdigit() for ch in text)
-    if kind == "email":
-        return bool(re.search(r"[@＠]|\bat\b", text, re.I)) and len(text) >= 6
-    if kind == "phone":
-        return 8 <= digits <= 22
-    if kind == "id_number":
-        return 6 <= digits <= 14
-    if kind == "address":
-        return digits >= 1 and len(text) >= 6
-    return len(text) >= 4 and digits == 0
-
-
 def mentions(df: DataFrame, id_col: str, content: str) -> DataFrame:
     """One row per mention: id, kind, nth (from the left, by kind), start, end in code points, text.
 
@@ -275,7 +283,7 @@ def mentions(df: DataFrame, id_col: str, content: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["id", "kind", "nth", "start", "end", "text"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    given = df.select(F.col(id_col).alias("id"), F.col(content).alias("content")).filter("content IS NOT NULL AND length(content) >= 4")
+    given = df.select(F.col(id_col).alias("id"), F.col(content).alias("content")).filter("content IS NOT NULL AND content <> ''")
     return given.mapInPandas(find, f"id {kind}, kind string, nth int, start int, end int, text string")
 
 

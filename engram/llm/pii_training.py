@@ -1,11 +1,13 @@
 """Training of the tagger of pii.py in numpy: python -m engram.llm.pii_training OUT.npz TABLES...
 
-Labelled spans come from a bounded sample (SAMPLE distinct contents) of the given tables: rules that
-know the sentences in which the sample's authors put personal data mark the mentions, and names,
-house numbers and the like are swapped for invented ones, so that the tagger learns the surroundings
-and shapes and not the words. The rules are used here only; pii.py never sees them.
+Half of the labelled texts come from a bounded sample (SAMPLE distinct contents) of the given tables: rules
+that know the sentences in which the sample's authors put personal data mark the mentions, and many names are
+swapped for invented ones. The other half is made of the invented sentences of pii_invented.py, with names,
+numbers and addresses of many countries and shapes, mixed with plain sentences of the sample. The rules are
+used here only; pii.py never sees them. Each of WORKERS processes makes its own texts and gradients.
 """
 
+import multiprocessing
 import random
 import re
 import sys
@@ -13,9 +15,10 @@ import time
 
 import numpy as np
 
-from engram.llm.pii import KINDS, MARGIN, N_CLASSES, N_TAGS, WINDOW, Tagger, encode, regions, to_spans, windows
+from engram.llm import pii_invented
+from engram.llm.pii import KINDS, N_CLASSES, N_TAGS, Tagger, encode, windows
 
-SAMPLE, HIDDEN, STEPS, SIZE, SEED = 80_000, 32, 4500, 128, 5
+SAMPLE, HIDDEN, STEPS, SIZE, WORKERS, SEED = 80_000, 32, 2600, 64, 8, 5
 
 _END = r"(?:wick|hurst|bergen|stad|ette|iano|inski|mere|quay|aro|ovan|elund)"
 _LAST = rf"[A-ZÀ-Þ][a-zà-ÿ]+{_END}(?:-[A-ZÀ-Þ][a-zà-ÿ]+{_END})?"
@@ -25,7 +28,7 @@ _GIVEN = r"[A-ZÀ-Þ][a-zà-ÿ]+"
 NAME = re.compile(rf"(?<![\w.@-])(?:(?:{_TITLE} )?(?:{_GIVEN}|[A-ZÀ-Þ]\.)(?: [A-ZÀ-Þ]\.)? {_LAST}|{_TITLE} {_LAST}|{_CAPS}, {_GIVEN})(?![\w@])")
 _DOT = r"(?:\.|\s?[(\[]dot[)\]]\s?| dot )"
 EMAIL = re.compile(rf"(?:mailto:)?[A-Za-z0-9._+-]+(?:\s?[@＠]\s?|\s?[(\[]at[)\]]\s?| at )[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*?{_DOT}(?:example|test|invalid|com|net|org)\b(?:\.(?:example|test))?(?!:)", re.I)
-ID = re.compile(r"(?<![\w-])(?:SSN:? ?|주민등록번호:? ?)?(?:\d{6} ?- ?\d{7}|(?<=번호 )\d{13}|(?<=번호: )\d{13}|(?:9\d\d)([-. ]?)\d\d\1\d{4}|QQ[ -]?\d\d[ -]?\d\d[ -]?\d\d[ -]?[A-D])(?![\w-]|\.\d)", re.I)
+ID = re.compile(r"(?<![\w-])(?:\d{6} ?- ?\d{7}|(?<=번호 )\d{13}|(?<=번호: )\d{13}|(?:9\d\d)([-. ]?)\d\d\1\d{4}|QQ[ -]?\d\d[ -]?\d\d[ -]?\d\d[ -]?[A-D])(?![\w-]|\.\d)", re.I)
 _EXT = r"(?:(?:,? (?:ext\.?|x|extension|Durchwahl|poste|내선)\.? ?\d+)|x\d+)?"
 PHONE = re.compile(
     rf"(?<![\w._-])(?<!ts=)(?:(?:\+|00(?=[1-9]))\d[\d ().-]{{8,}}\d|(?:1[ -])?\(\d{{3}}\) ?\d{{3}}-\d{{4}}|(?:1[ .-])?\d{{3}}([-. ])\d{{3}}\1\d{{4}}|0\d{{1,2}}[-. ]\d{{3,4}}[-. ]\d{{4}}|0\d(?:[ .]\d\d){{4}}|0\d{{3,4}} \d{{6}}|0\d{{2}}[/ ]\d{{5,}}(?:[- ]\d{{3}})?|\d{{10,11}}){_EXT}(?![\w-])"
@@ -116,19 +119,33 @@ def tags_of(length: int, spans: list) -> np.ndarray:
     return y
 
 
-def examples(texts: list[str], rng: random.Random) -> list[tuple[np.ndarray, np.ndarray]]:
-    out = []
-    for text in texts:
-        text, spans = varied(text, label(text), rng)
+def drawn(texts: list[str], carriers: list[str], rng: random.Random):
+    """Labelled windows without end, half of them from the tables' contents."""
+    positive, negative = pii_invented.templates(False)
+    while True:
+        if rng.random() < 0.5:
+            text = rng.choice(texts)
+            spans = label(text)
+            if not spans and not DECOYS.search(text) and rng.random() < 0.65:
+                continue
+            text, spans = varied(text, spans, rng)
+        else:
+            text, spans = pii_invented.example(positive, negative, carriers, rng)
         x, y = encode(text), tags_of(len(text), spans)
-        where = regions(text)
-        if not where and rng.random() < 0.03 and len(text) > 2 * MARGIN:
-            where = [(0, min(len(text), WINDOW))]
-        if " dot " in text:
-            where = where * 3  # the rarest spelling of addresses
-        for lo, hi in where:
-            out += [(x[lo + a : lo + b], y[lo + a : lo + b]) for a, b in windows(hi - lo)]
-    return out
+        for a, b in windows(len(text)):
+            yield x[a:b], y[a:b]
+
+
+def batches(texts: list[str], carriers: list[str], seed: int):
+    """Batches of windows of like length, in random order."""
+    rng = random.Random(seed)
+    source = drawn(texts, carriers, rng)
+    while True:
+        pool = sorted((next(source) for _ in range(40 * SIZE)), key=lambda p: len(p[0]))
+        cuts = list(range(0, len(pool), SIZE))
+        rng.shuffle(cuts)
+        for at in cuts:
+            yield pool[at : at + SIZE]
 
 
 class Trainer:
@@ -147,13 +164,14 @@ class Trainer:
         for a in range(N_TAGS):
             for k in range(len(KINDS)):
                 if a not in (1 + 2 * k, 2 + 2 * k):
-                    self.w["trans"][a, 2 + 2 * k] = -6.0  # going on needs a beginning
+                    self.w["trans"][a, 2 + 2 * k] = -30.0  # going on needs a beginning
         self.w = {k: v.astype(np.float32) for k, v in self.w.items()}
         self.m = {k: np.zeros_like(v) for k, v in self.w.items()}
         self.v = {k: np.zeros_like(v) for k, v in self.w.items()}
         self.t = 0
 
-    def step(self, batch: list, rate: float) -> float:
+    def gradients(self, batch: list) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean loss per character, and gradients per window."""
         w, n, h = self.w, len(batch), HIDDEN
         lengths = np.array([len(x) for x, _ in batch])
         longest = int(lengths.max())
@@ -218,6 +236,9 @@ class Trainer:
             firsts = np.flatnonzero(np.diff(ids[order], prepend=-1))
             dwx[k][ids[order][firsts]] = np.add.reduceat(flat[order], firsts, axis=0)
         grads |= {"wx": dwx, "wh": dwh}
+        return loss / float(lengths.sum()), grads
+
+    def apply(self, grads: dict[str, np.ndarray], rate: float) -> None:
         norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
         clip = min(1.0, 4.0 / (norm + 1e-9))
         self.t += 1
@@ -226,7 +247,11 @@ class Trainer:
             self.m[k] = 0.9 * self.m[k] + 0.1 * g
             self.v[k] = 0.99 * self.v[k] + 0.01 * g * g
             self.w[k] -= (rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.99**self.t)) + 1e-7)).astype(np.float32)
-        return loss / float(lengths.sum())
+
+    def step(self, batch: list, rate: float) -> float:
+        loss, grads = self.gradients(batch)
+        self.apply(grads, rate)
+        return loss
 
     def crf(self, e, y, mask, lengths):
         """Negative log-likelihood of the tags and its gradients, by the forward and backward sums."""
@@ -272,13 +297,14 @@ def counts_of(spans: list) -> dict:
     return out
 
 
-def measure(tagger: Tagger, texts: list[str], show: int = 0) -> dict[str, tuple[float, float]]:
+def measure(tagger: Tagger, labelled: list[tuple[str, list]], show: int = 0) -> dict[str, tuple[float, float]]:
     """Precision and recall by kind, of mentions that overlap a labelled one."""
     hit, said, true, wrong = dict.fromkeys(KINDS, 0), dict.fromkeys(KINDS, 0), dict.fromkeys(KINDS, 0), []
-    for text, found in zip(texts, tagger.spans(texts), strict=True):
-        gold = label(text)
+    right = dict.fromkeys(KINDS, 0)
+    for (text, gold), found in zip(labelled, tagger.spans([t for t, _ in labelled]), strict=True):
         for a, b, k in found:
             said[k] += 1
+            right[k] += any(k == k2 and a < b2 and a2 < b for a2, b2, k2 in gold)
         for a, b, k in gold:
             true[k] += 1
             hit[k] += any(k == k2 and a < b2 and a2 < b for a2, b2, k2 in found)
@@ -287,34 +313,75 @@ def measure(tagger: Tagger, texts: list[str], show: int = 0) -> dict[str, tuple[
     for w in wrong[:show]:
         g, f = set(w[1]), set(w[2])
         print("  label only", g - f, "| tagger only", f - g, flush=True)
-    print("contents with other counts", len(wrong), "of", len(texts), flush=True)
-    return {k: (round(hit[k] / max(said[k], 1), 4), round(hit[k] / max(true[k], 1), 4)) for k in KINDS}
+    print("texts with other counts", len(wrong), "of", len(labelled), flush=True)
+    return {k: (round(right[k] / max(said[k], 1), 4), round(hit[k] / max(true[k], 1), 4)) for k in KINDS}
 
 
-def main(out: str, *folders: str) -> None:
+def unseen(n: int, carriers: list[str], seed: int = 1) -> list[tuple[str, list]]:
+    """Texts of templates that training leaves out."""
+    rng, (positive, negative) = random.Random(seed), pii_invented.templates(True)
+    return [pii_invented.example(positive, negative, carriers, rng) for _ in range(n)]
+
+
+def read(folders: tuple[str, ...]) -> list[str]:
     import pyarrow.dataset as ds
 
-    rng = random.Random(SEED)
     texts: set[str] = set()
     for place in (f"{folder}/{name}.parquet" for folder in folders for name in ("chunks", "chunk_data")):
         texts |= set(ds.dataset(place).to_table(["content"])["content"].drop_null().to_pylist())
-    sample = sorted(texts)
-    rng.shuffle(sample)
-    sample = sample[:SAMPLE]
-    held, sample = sample[:3000], sample[3000:]
+    out = sorted(texts)
+    random.Random(SEED).shuffle(out)
+    return out[:SAMPLE]
+
+
+def plain_sentences(texts: list[str]) -> list[str]:
+    return [s for t in texts[:20_000] if not label(t) and not DECOYS.search(t) for s in re.split(r"(?<=[.!?]) |\n", t) if s.strip()]
+
+
+def main(out: str, *folders: str) -> None:
+    sample = read(folders)
+    held, sample = [(t, label(t)) for t in sample[:3000]], sample[3000:]
+    carriers = plain_sentences(sample)
+    strange = unseen(2000, carriers)
     trainer, began = Trainer(), time.time()
-    data: list = []
+    names = sorted(trainer.w)
+    sizes = [trainer.w[k].size for k in names]
+    total = sum(sizes)
+    # of all processes: the weights, and gradients and loss of each
+    shared = np.frombuffer(multiprocessing.RawArray("f", total), np.float32)
+    slots = np.frombuffer(multiprocessing.RawArray("f", WORKERS * (total + 1)), np.float32).reshape(WORKERS, total + 1)
+    go, done = multiprocessing.Barrier(WORKERS + 1), multiprocessing.Barrier(WORKERS + 1)
+
+    def split(flat: np.ndarray) -> dict[str, np.ndarray]:
+        return {k: part.reshape(trainer.w[k].shape) for k, part in zip(names, np.split(flat, np.cumsum(sizes)[:-1]), strict=True)}
+
+    def work(n: int) -> None:
+        mine, source = Trainer(), batches(sample, carriers, SEED * 100 + n)
+        for _ in range(STEPS):
+            batch = next(source)
+            go.wait()
+            mine.w = split(shared)
+            loss, grads = mine.gradients(batch)
+            slots[n, :total] = np.concatenate([grads[k].ravel() for k in names])
+            slots[n, total] = loss
+            done.wait()
+
+    fork = multiprocessing.get_context("fork")
+    workers = [fork.Process(target=work, args=(n,), daemon=True) for n in range(WORKERS)]
+    for w in workers:
+        w.start()
     for step in range(STEPS):
-        if step % 700 == 0:
-            data = sorted(examples(sample, rng), key=lambda p: (len(p[0]) // 16, rng.random()))
-            print("windows", len(data), flush=True)
-        at = rng.randrange(max(1, len(data) - SIZE))
-        rate = 0.006 * min(1, (step + 1) / 100) * (1 - step / STEPS) ** 0.9 + 1e-5
-        loss = trainer.step(data[at : at + SIZE], rate)
+        shared[:] = np.concatenate([trainer.w[k].ravel() for k in names])
+        go.wait()
+        done.wait()
+        rate = 0.008 * min(1, (step + 1) / 100) * (1 - step / STEPS) ** 0.9 + 1e-5
+        trainer.apply(split(slots[:, :total].mean(0)), rate)
         if step % 100 == 0:
-            print(step, round(loss, 5), round(time.time() - began), flush=True)
-        if step % 500 == 499 or step == STEPS - 1:
-            print(measure(Tagger(trainer.w), held, 6), flush=True)
+            print(step, round(float(slots[:, total].mean()), 5), round(time.time() - began), flush=True)
+        if step % 400 == 399 or step == STEPS - 1:
+            tagger = Tagger({k: v.astype(np.float16).astype(np.float32) for k, v in trainer.w.items()})
+            print("contents of the tables", measure(tagger, held, 6), flush=True)
+            print("unseen templates", measure(tagger, strange, 6), flush=True)
             np.savez_compressed(out, **{k: v.astype(np.float16) for k, v in trainer.w.items()})
 
 

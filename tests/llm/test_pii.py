@@ -3,8 +3,9 @@ import random
 import numpy as np
 import pytest
 
-from engram.llm.pii import KINDS, LAP, N_TAGS, WHOLE, WINDOW, Tagger, masked, mentions, plausible, regions, to_spans, windows
-from engram.llm.pii_training import Trainer, label, tags_of
+from engram.llm import pii, pii_invented
+from engram.llm.pii import N_TAGS, OVERLAP, WINDOW, Tagger, masked, mentions, owned, to_spans, windows
+from engram.llm.pii_training import Trainer, label, measure, tags_of, unseen
 from pyspark.sql import functions as F
 
 TEXT = "Please call +33 1 99 00 89 55 or write to soren+tas@example.net. Signed off by Greta Aldyorquay and I. Halmarinski. Part no. 901-15-4524 of the disk tray is out of stock. Die Kennung 905 43 9510 gehört zu Jürgen Cambarquay. The letter went to Flat 3, 118 Tovcam Blvd, Ostermouth last week. Pull from git@code1.test:memory/core.git before run 936."
@@ -24,29 +25,61 @@ def test_mentions_and_masks(spark):
 
 
 def test_windows_cover_with_overlap():
-    for n in (1, WINDOW, WINDOW + 1, 1000):
+    for n in (1, WINDOW, WINDOW + 1, 300, 1000, 4321):
         cut = windows(n)
         assert cut[0][0] == 0 and cut[-1][1] == n and all(b - a <= WINDOW for a, b in cut)
-        assert all(c < b for (_, b), (c, _) in zip(cut, cut[1:]))
-    assert regions("no trigger in here") == [] and regions("call 0123456789 now")[0] == (0, 19)
+        assert all(b - c >= OVERLAP for (_, b), (c, _) in zip(cut, cut[1:]))
+        own = owned(cut)
+        assert own[0][0] == 0 and own[-1][1] == n and all(b == c for (_, b), (c, _) in zip(own, own[1:]))
+        assert all(a <= lo < hi <= b for (a, b), (lo, hi) in zip(cut, own))
+    assert windows(0) == [] == owned([])
 
 
-def test_viterbi_is_the_best_path_and_the_shortcut_is_exact():
-    rng = np.random.default_rng(1)
+def test_every_character_is_scored(monkeypatch):
+    """All characters of all texts reach the network, whatever they are."""
+    texts = ["nothing here", "공백 없는 글", "x" * 3000, "Ж", "plain words only " * 400]
+    own, given = [], Tagger.scores
+    monkeypatch.setattr(Tagger, "scores", lambda self, seqs: own.append(sum(map(len, seqs))) or given(self, seqs))
+    e = Tagger.load().emissions(texts)
+    assert len(e) == sum(map(len, texts)) <= sum(own) and np.isfinite(e).all()
+
+
+def tagger(rng):
     w = {"wx": np.zeros((2, 3, 4)), "wh": np.zeros((2, 1, 4)), "out": np.zeros((2, N_TAGS)), "bias": np.zeros(N_TAGS), "trans": rng.normal(size=(N_TAGS, N_TAGS)), "start": rng.normal(size=N_TAGS)}
-    t = Tagger(w)
-    for n in (1, 2, 3):
-        e = rng.normal(size=(n, N_TAGS)).astype(np.float32)
-        best, score = None, -1e9
-        for path in np.ndindex(*(N_TAGS,) * n):
-            s = w["start"][path[0]] + sum(e[k, p] for k, p in enumerate(path)) + sum(w["trans"][a, b] for a, b in zip(path, path[1:]))
-            if s > score:
-                best, score = path, s
-        assert tuple(t.viterbi([e])[0]) == best
-    w["start"] = np.zeros(N_TAGS)
-    quiet = np.zeros((50, N_TAGS), np.float32)
-    quiet[:, 0] = 1e3
-    assert not Tagger(w).viterbi([quiet])[0].any()
+    return Tagger(w)
+
+
+def best_path(t, e, begins=True, ends=True):
+    best, score = None, -1e9
+    trans, start = t.w["trans"], t.w["start"] if begins else t.w["trans"][0]
+    for path in np.ndindex(*(N_TAGS,) * len(e)):
+        s = start[path[0]] + sum(e[k, p] for k, p in enumerate(path)) + sum(trans[a, b] for a, b in zip(path, path[1:])) + (0 if ends else trans[path[-1], 0])
+        if s > score:
+            best, score = path, s
+    return best
+
+
+def test_stretches_are_decided_by_the_best_path():
+    rng = np.random.default_rng(1)
+    t = tagger(rng)
+    for n in (1, 2, 3, 4):
+        for begins, ends in ((True, True), (False, True), (True, False), (False, False)):
+            e = rng.normal(size=(n, N_TAGS)).astype(np.float32)
+            got = t.decide(e, np.array([[0, n, begins, ends]])).get(0, np.zeros(n, np.int8))
+            assert tuple(got) == best_path(t, e, begins, ends)
+
+
+def test_what_is_surely_outside_is_outside_in_the_best_path():
+    rng = np.random.default_rng(2)
+    some = 0
+    for _ in range(150):
+        t = tagger(rng)
+        e = rng.normal(size=(4, N_TAGS)).astype(np.float32) * 2
+        e[:, 0] += rng.choice([0, 3, 9, 20], 4)
+        sure = t.sure(e)
+        some += sure.sum()
+        assert not np.array(best_path(t, e))[sure].any()
+    assert some > 50
 
 
 def test_gradients_of_training():
@@ -94,17 +127,31 @@ def test_the_weights_agree_with_the_labels():
     assert wrong <= 0.005 * len(texts)
 
 
-def test_spans_and_checks():
+def test_spans():
     tags = np.array([0, 1, 2, 2, 1, 0, 3, 4])
     assert to_spans(tags, 10) == [(11, 14, "email"), (14, 15, "email"), (16, 18, "phone")]
-    assert plausible("a@b.example", "email") and not plausible("@dataclass"[:5], "email") and not plausible("12", "phone") and len(KINDS) == 5
 
 
-def test_mentions_across_the_pieces_of_a_long_region():
+def test_mentions_wherever_windows_and_groups_of_texts_end(monkeypatch):
+    """The same mentions whatever the offset, in one text of many windows."""
     unit = "Please call +33 1 99 00 89 55 or write. "
-    for cut in (WHOLE, WHOLE - LAP // 2):
-        texts = ("12345 " + "x" * pad + " " + unit * (WHOLE * 5 // 4 // len(unit)) for pad in range(len(unit)))
-        text = next(t for t in texts if t[cut - 3 : cut + 5] == "99 00 89")
-        assert regions(text)[0][0] == 0 and len(regions(text)) == 1
-        found = Tagger.load().spans([text])[0]
-        assert [s[2] for s in found] == ["phone"] * text.count("+33") and {text[a:b] for a, b, _ in found} == {"+33 1 99 00 89 55"}
+    filler = "the plan is ready and the index is as it was before the run, "
+    texts = [(filler * 2)[-pad - 1 :] + unit * 40 for pad in range(71)]
+    monkeypatch.setattr(pii, "HELD", 5000)
+    for text, found in zip(texts, Tagger.load().spans(texts), strict=True):
+        assert [s[2] for s in found] == ["phone"] * 40 and {text[a:b] for a, b, _ in found} == {"+33 1 99 00 89 55"}
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "mention"),
+    [("John Smith wrote the report.", "name", "John Smith"), ("We met Barack Obama and left.", "name", "Barack Obama"), ("Angela Merkel spoke first.", "name", "Angela Merkel"), ("Please ask Emmanuel Macron about it.", "name", "Emmanuel Macron"), ("Tim Cook signed the contract.", "name", "Tim Cook"), ("My social security number is 123-45-6789.", "id_number", "123-45-6789"), ("write to soren at example.net please", "email", "soren at example.net"), ("write to soren {at} example.net please", "email", "soren {at} example.net"), ("Łukasz Żak signed it.", "name", "Łukasz Żak"), ("담당자는 김민수입니다.", "name", "김민수"), ("Автор: Иван Петров", "name", "Иван Петров")],
+)
+def test_what_the_tables_never_say(text, kind, mention):
+    assert (kind, mention) in [(k, text[a:b]) for a, b, k in Tagger.load().spans([text])[0]]
+
+
+def test_templates_that_training_left_out():
+    got = measure(Tagger.load(), unseen(600, ["The plan is ready."], seed=7))
+    assert all(min(got[k]) > least for k, least in (("email", 0.95), ("name", 0.85), ("address", 0.9), ("phone", 0.7), ("id_number", 0.55)))
+    known, held = pii_invented.templates(False), pii_invented.templates(True)
+    assert not set(known[0]) & set(held[0]) and not set(known[1]) & set(held[1])
