@@ -5,7 +5,11 @@ beam search; the norm of the sum is stored beside the codes. The first code, and
 first two, is the cell in which a vector is filed. Every vector looks into the nearest cells until
 they hold LOOK vectors and at least CELLS of them; there, candidates are scored with tables of the
 query's products with all codewords, divided by the stored norms, and the best RERANK are measured
-exactly.
+exactly. All four numbers are arguments; with exact=True every vector looks into all cells and all
+candidates are measured, which is the true answer at quadratic cost.
+
+Cells are at most WORDS * WORDS; up to some CROWD * WORDS * WORDS vectors (270 million) they keep their
+size, beyond that they grow with the collection.
 
 The codebooks are fitted on a bounded sample (SAMPLE vectors, lowest hash of the id first); every
 vector is indexed. A cell is cut into blocks of vectors and blocks of lookers, so no group grows with
@@ -22,7 +26,9 @@ from pyspark.sql import functions as F
 from engram.plans.lineage import Scratch
 
 SAMPLE, STAGES, WORDS, BEAM = 20_000, 8, 256, 4
-LOOK, CELLS, RERANK = 600, 8, 160
+#: What top_similar() takes by default: vectors and cells that each vector looks through at least, cells at most, candidates
+#: of a block that are measured exactly.
+LOOK, CELLS, NEAR, RERANK = 600, 8, 256, 160
 #: A first-code cell with more vectors than CROWD is divided by its second code. Blocks are of about BLOCK vectors.
 CROWD, BLOCK = 4096, 4096
 
@@ -111,12 +117,11 @@ def salts(ids: pd.Series) -> np.ndarray:
 
 
 class Places:
-    """Cells with their centres and sizes, and who looks where."""
-
-    #: Of many cells, so many nearest ones are looked through at most.
-    NEAR = 256
+    """Cells with their centres and sizes, and who looks where: into the nearest cells until they hold `look` vectors and are
+    at least `few`, at most `near`."""
 
-    def __init__(self, books: np.ndarray, cells: list[tuple[int, int, int]]):
+    def __init__(self, books: np.ndarray, cells: list[tuple[int, int, int]], look: int, few: int, near: int):
+        self.look, self.few, self.near = look, few, near
         self.where = {(c1, c2): j for j, (c1, c2, _) in enumerate(cells)}
         self.centres = np.stack([books[0][c1] + (books[1][c2] if c2 >= 0 else 0) for c1, c2, _ in cells]).astype(np.float32)
         self.half = (self.centres * self.centres).sum(1) / 2
@@ -127,29 +132,34 @@ class Places:
         return np.array([self.where[(a, -1)] if (a, -1) in self.where else self.where[(a, b)] for a, b in zip(c1.tolist(), c2.tolist())], np.int64)
 
     def looks(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of x and the cells that they look into: the nearest, until they hold LOOK vectors and are at least CELLS."""
+        """Rows of x and the cells that they look into."""
         rows, cells, n = [], [], len(self.sizes)
         for at in range(0, len(x), 1024):
             far = self.half - x[at : at + 1024] @ self.centres.T
-            if n > self.NEAR:
-                some = np.argpartition(far, self.NEAR - 1, axis=1)[:, : self.NEAR]
+            if n > self.near:
+                some = np.argpartition(far, self.near - 1, axis=1)[:, : self.near]
                 order = np.take_along_axis(some, np.argsort(np.take_along_axis(far, some, 1), axis=1, kind="stable"), 1)
             else:
                 order = np.argsort(far, axis=1, kind="stable")
             held = np.cumsum(self.sizes[order], axis=1)
-            enough = np.maximum((held < LOOK).sum(1) + 1, min(CELLS, n))
+            enough = np.maximum((held < self.look).sum(1) + 1, min(self.few, n))
             r, k = np.nonzero(np.arange(order.shape[1])[None, :] < enough[:, None])
             rows.append(r + at)
             cells.append(order[r, k])
         return np.concatenate(rows), np.concatenate(cells)
 
 
-def top_similar(df: DataFrame, id_col: str, vector: str, k: int = 10, size: int = 64) -> DataFrame:
+def top_similar(df: DataFrame, id_col: str, vector: str, k: int = 10, size: int = 64, look: int = LOOK, few: int = CELLS, near: int = NEAR, rerank: int = RERANK, exact: bool = False) -> DataFrame:
     """For each usable vector the k others with the highest cosine: id, other, cosine, place (1 is the nearest).
 
-    Of equal cosines the smaller id comes first; where more than RERANK vectors of a cell are equally near, which
-    of them come out is not fixed. Fewer than two usable vectors give no rows. Other columns are not read.
+    look, few, near: each vector looks into the nearest cells until they hold `look` vectors and are at least `few`, at most
+    `near`; rerank: so many candidates of each block of a cell are measured exactly. exact: all cells and all candidates.
+    Of equal cosines the smaller id comes first; where more than `rerank` vectors of a cell are equally near, which
+    of them come out is not fixed. Fewer than two usable vectors give no rows. Other columns are not read. Indexing runs when this
+    is called.
     """
+    if exact:
+        look, few, near, rerank = (1 << 62,) * 4
     spark = df.sparkSession
     scratch = Scratch(spark)
     units = scratch.write(unit_vectors(df, id_col, vector, size))
@@ -175,7 +185,7 @@ def top_similar(df: DataFrame, id_col: str, vector: str, k: int = 10, size: int
     crowded = set(by_first[by_first > CROWD].index)
     cells = [(c1, -1, int(n)) for c1, n in by_first.items() if c1 not in crowded]
     cells += [(c1, c2, int(n)) for c1, c2, n in counts.itertuples(index=False) if c1 in crowded]
-    places = Places(books.value, cells)
+    places = Places(books.value, cells, look, few, near)
     known = spark.sparkContext.broadcast(places)
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -225,7 +235,7 @@ def top_similar(df: DataFrame, id_col: str, vector: str, k: int = 10, size: int
         x, ids = matrix(owners["vec"]), owners["id"].to_numpy()
         codes = np.frombuffer(b"".join(owners["codes"]), np.uint8).reshape(len(owners), -1)
         norms = np.maximum(owners["norm"].to_numpy(), 1e-6)
-        keep = min(RERANK, len(owners))
+        keep = min(rerank, len(owners))
         out = []
         for at in range(0, len(lookers), 512):
             part = lookers[at : at + 512]

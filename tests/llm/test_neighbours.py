@@ -76,3 +76,13 @@ def test_encoding_by_beam_is_no_worse_than_greedy():
         assert np.allclose(np.linalg.norm(made, axis=1), norms, atol=1e-3)
         errors.append(float(((x - made) ** 2).sum()))
     assert errors[1] < errors[0] < float((x**2).sum()) and neighbours.BEAM > 1
+
+
+def test_the_exact_way_is_exact(spark):
+    rng = np.random.default_rng(8)
+    vectors = {f"v{k:04d}": rng.normal(size=8) for k in range(700)}  # no groups: the hardest case for cells
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in vectors.items()], "id string, v array<float>")
+    got = {(r.id, r.other) for r in top_similar(df, "id", "v", 10, 8, exact=True).collect()}
+    assert got == exact(vectors, 10)
+    less = {(r.id, r.other) for r in top_similar(df, "id", "v", 10, 8, look=50, few=1, rerank=20).collect()}
+    assert len(less & got) < len(got)
