@@ -26,14 +26,14 @@ ZONES = sorted(z for z in zoneinfo.available_timezones() if "/" in z)
 # Weekdays, Monday first.
 DAYS = ("mon", "tue", "wed", "thu", "fri", "sat", "sun")
 
-_ZONE = r"\s*(Z|z|[+-]\d{2}(?::?\d{2})?|[A-Za-z]{1,5}|[A-Za-z]+(?:/[A-Za-z_+-]+)+)?(?:\[([A-Za-z_/+-]+)\])?"
-_TIME = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?"
+_ZONE = r"\s*(Z|z|[+-]\d{2}(?::?\d{2})?|[A-Za-z]{1,5}|[A-Za-z]+(?:/[A-Za-z0-9_+-]+)+)?(?:\[([A-Za-z0-9_/+-]+)\])?"
+_TIME = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?"
 #: Anchored patterns and the fields they give: y|m|d|h|min|s|fraction|am or pm|zone|weekday|bracketed zone. D marks all-numeric dates
 #: in the order of the source.
 PATTERNS = (
     (r"^(\d{4})-(\d{2})-(\d{2})[Tt /]" + _TIME + _ZONE + "$", "$1|$2|$3|$4|$5|$6|$7||$8||$9"),
     (r"^(\d{4})-(\d{2})-(\d{2})/(\d{2})-(\d{2})-(\d{2})$", "$1|$2|$3|$4|$5|$6|||||"),
-    (r"^(\d{4})(\d{2})(\d{2})T(\d{2})(\d{2})(\d{2})(?:[.,](\d{1,9}))?" + _ZONE + "$", "$1|$2|$3|$4|$5|$6|$7||$8||$9"),
+    (r"^(\d{4})(\d{2})(\d{2})T(\d{2})(\d{2})(\d{2})(?:[.,](\d+))?" + _ZONE + "$", "$1|$2|$3|$4|$5|$6|$7||$8||$9"),
     (r"^((?:19|20|21)\d{2})(\d{2})(\d{2})(\d{2})(\d{2})(\d{2})$", "$1|$2|$3|$4|$5|$6|||||"),
     (r"^(?:([A-Za-z]{3}), )?(\d{1,2}) ([A-Za-z]{3,9}) (\d{4}) " + _TIME + _ZONE + "$", "$4|$3|$2|$5|$6|$7|$8||$9|$1|$10"),
     (r"^([A-Za-z]{3,9}) (\d{1,2}), (\d{4}) " + _TIME + r"(?: ([AaPp])[Mm])?" + _ZONE + "$", "$3|$1|$2|$4|$5|$6|$7|$8|$9||$10"),
@@ -43,7 +43,7 @@ PATTERNS = (
     (r"^(\d{1,2})/(\d{1,2})/(\d{4}) " + _TIME + r"(?: ([AaPp])[Mm])?" + _ZONE + "$", "D$3|$1|$2|$4|$5|$6|$7|$8|$9||$10"),
 )
 #: Bare counts since 1970 and their unit, by digits.
-COUNTS = ((r"^\d{9,10}(?:\.\d{1,9})?$", "s"), (r"^\d{12,13}$", "ms"), (r"^\d{15,16}$", "us"), (r"^\d{18,19}$", "ns"))
+COUNTS = ((r"^\d{9,10}(?:\.\d+)?$", "s"), (r"^\d{12,13}$", "ms"), (r"^\d{15,16}$", "us"), (r"^\d{18,19}$", "ns"))
 
 
 def _lookup(words: dict, key: Column) -> Column:
@@ -86,14 +86,14 @@ def add_utc_micros(df: DataFrame, text: str, zone: str, order: str, out: str = "
     """Add microseconds since 1970-01-01 UTC of a text, or null where it fixes no single instant.
 
     zone: column with the zone id of the text's source, or null; order: column with YMD, DMY or MDY,
-    how the source writes all-numeric dates. Null, empty and overlong texts give null; blanks around a
+    how the source writes all-numeric dates. Null and empty texts give null; blanks around a
     text do not count. Every row comes out once, with all its columns, whatever their names; one named `out` is
     replaced. The steps are separate projections, so that each field is computed once: filter on the result behind
     an aggregation or a written table, as a filter right behind it would be pushed down with a copy of every step.
     """
     kept = [c for c in df.columns if c != out]
     t = F.trim(F.col(text))
-    df = df.select(F.struct(*kept).alias("_row"), F.when(F.length(t) <= 80, t).alias("_t"), F.col(zone).alias("_zone"), F.col(order).alias("_order"))
+    df = df.select(F.struct(*kept).alias("_row"), t.alias("_t"), F.col(zone).alias("_zone"), F.col(order).alias("_order"))
     fields = F.lit(None).cast("string")
     for pattern, names in reversed(PATTERNS):
         fields = F.when(F.col("_t").rlike(pattern), F.regexp_replace("_t", pattern, names)).otherwise(fields)
@@ -112,7 +112,7 @@ def add_utc_micros(df: DataFrame, text: str, zone: str, order: str, out: str = "
         "_weekday": F.lower(part[9]),
         "_mark": F.when(part[8] == "", part[10]).otherwise(part[8]),
     }).drop("_part")
-    sane = F.expr("_y BETWEEN 1900 AND 2200 AND _m BETWEEN 1 AND 12 AND _h BETWEEN 0 AND 23 AND _min BETWEEN 0 AND 59 AND _s BETWEEN 0 AND 59")
+    sane = F.expr("_y BETWEEN 1 AND 9999 AND _m BETWEEN 1 AND 12 AND _h BETWEEN 0 AND 23 AND _min BETWEEN 0 AND 59 AND _s BETWEEN 0 AND 59")
     df = df.withColumn("_month", F.when(sane, F.make_date("_y", "_m", F.lit(1))))
     df = df.withColumn("_date", F.when(F.col("_d").between(1, F.dayofmonth(F.last_day("_month"))), F.date_add("_month", F.col("_d") - 1)))
     right_day = (F.col("_weekday") == "") | (F.col("_weekday") == F.try_element_at(F.array(*map(F.lit, DAYS)), F.weekday("_date") + 1))

@@ -46,7 +46,7 @@ QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_durations": p4_durati
 
 _RUNS = """
 WITH once AS (SELECT id, arg_min(principal_id, ingested_at) AS principal_id, arg_min(epoch_us(ts), ingested_at) AS us, lower(arg_min(event_type, ingested_at)) AS event_type
-              FROM audit_events WHERE principal_id IS NOT NULL AND ts IS NOT NULL GROUP BY id),
+              FROM (SELECT *, CASE WHEN id IS NULL THEN row_number() OVER () END AS nameless FROM audit_events) WHERE principal_id IS NOT NULL AND ts IS NOT NULL GROUP BY id, nameless),
      gaps AS (SELECT *, us - lag(us) OVER (PARTITION BY principal_id ORDER BY us, id) AS gap FROM once),
      runs AS (SELECT *, sum(CASE WHEN gap <= 1800000000 THEN 0 ELSE 1 END) OVER (PARTITION BY principal_id ORDER BY us, id) AS run FROM gaps),
      spans AS (SELECT principal_id, run, min(us) AS start_us, max(us) AS end_us, count(*) AS n_events FROM runs GROUP BY principal_id, run)

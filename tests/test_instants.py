@@ -58,6 +58,13 @@ CASES = [
     (None, "UTC", "YMD", None),
     ("pending", "UTC", "YMD", None),
     ("9" * 5000, "UTC", "YMD", None),
+    ("2024-05-05 10:00:00." + "123456789" * 20 + "Z", None, None, us(2024, 5, 5, 10) + 123456),
+    ("1793890833." + "6" * 200, None, None, 1793890833666666),
+    ("1850-06-01 00:00:00Z", None, None, us(1850, 6, 1)),
+    ("2500-06-01T00:00:00+01:00", None, None, us(2500, 5, 31, 23)),
+    ("2024-05-05 10:00:00 Etc/GMT+5", None, None, us(2024, 5, 5, 15)),
+    ("2024-05-05 10:00:00[Etc/GMT-14]", "UTC", None, us(2024, 5, 4, 20)),
+    ("2024-05-05 10:00:00" + " " * 200, "UTC", None, us(2024, 5, 5, 10)),
 ]
 
 
