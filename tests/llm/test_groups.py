@@ -62,3 +62,32 @@ def test_vertices_whose_numbers_collide(spark, monkeypatch):
     monkeypatch.setattr(groups, "_id", lambda v: F.pmod(F.xxhash64(v), F.lit(7)))
     pairs = [(f"n{k:02d}", f"n{k + 1:02d}") for k in range(0, 60, 2)]
     assert found(spark, [(*p, 1.0) for p in pairs]) == brute(pairs)
+
+
+def test_orders_are_bijections_and_fresh(spark):
+    from pyspark.sql import functions as F
+
+    from engram.llm.groups import _mixed, _unmixed
+
+    df = spark.range(0, 2000).select(F.xxhash64("id").alias("x"))
+    orders = []
+    for turn in range(3):
+        rows = df.select("x", _mixed(F.col("x"), turn).alias("m"), _unmixed(_mixed(F.col("x"), turn), turn).alias("back")).collect()
+        assert all(r.x == r.back for r in rows) and len({r.m for r in rows}) == 2000
+        ranked = sorted(rows, key=lambda r: r.m)
+        orders.append({r.x: k for k, r in enumerate(ranked)})
+    for one, two in ((0, 1), (1, 2)):
+        pairs = [(orders[one][a] < orders[one][b]) == (orders[two][a] < orders[two][b]) for a, b in zip(list(orders[0])[::2], list(orders[0])[1::2])]
+        assert 0.45 < sum(pairs) / len(pairs) < 0.55
+
+
+def test_rounds_are_few(spark):
+    from engram.llm import groups
+    from engram.plans.lineage import Scratch
+
+    chain = spark.range(0, 4095).selectExpr("id AS a", "id + 1 AS b")
+    scratch = Scratch(spark)
+    edges, seen = scratch.counted(chain)
+    maps = groups.contract(edges, seen["n"], scratch)
+    sizes = [n for _, n in maps]
+    assert sizes[0] == 4096 and len(maps) <= 12 and all(b <= 0.6 * a for a, b in zip(sizes[:5], sizes[1:]))
