@@ -84,19 +84,21 @@ class Tagger:
         # clip(v, 0, 1) is |v/2| - |v/2 - 1/2| + 1/2, and v/2 is computed at once
         wx[:, :, :3] = wx[:, :, :3] / 8 + 0.25
         wh[:, :, :3] /= 8
-        self.wx = np.ascontiguousarray(wx.reshape(-1, 4, size).transpose(1, 0, 2))
+        # before a shorter window begins, backwards, all gates are shut and the state stays zero
+        shut = np.zeros((1, 4, size), np.float32)
+        shut[:, :3] = -1e4
+        self.wx = np.ascontiguousarray(np.concatenate([wx.reshape(-1, 4, size), shut]).transpose(1, 0, 2))
         self.wh = np.ascontiguousarray(wh.transpose(2, 0, 1, 3))
         # only a mention's own characters may go on with it
         for k in range(len(KINDS)):
             others = [a for a in range(N_TAGS) if a not in (1 + 2 * k, 2 + 2 * k)]
             w["trans"][others, 2 + 2 * k] = w["start"][2 + 2 * k] = NEVER
         t, start, kinds = w["trans"], w["start"], range(len(KINDS))
-        #: The most that a mention wins by transitions over the outside: at its ends, and for each character.
-        begin = max(max(float((t[:, 1 + 2 * k] - t[:, 0]).max()), float(start[1 + 2 * k] - start[0])) for k in kinds)
-        plain = [0, *(1 + 2 * k for k in kinds)]
-        end = max(0.0, *(float((t[tag, plain] - t[0, plain]).max()) for tag in range(1, N_TAGS)))
-        self.step = max(max(float(t[1 + 2 * k, 2 + 2 * k]), float(t[2 + 2 * k, 2 + 2 * k])) for k in kinds) - float(t[0, 0])
-        self.ends = begin + end - min(self.step, 0.0)
+        #: The most that a row of mentions without a gap wins by transitions over the outside: when it begins with a kind, when
+        #: it ends, and for each further character.
+        self.begin = np.array([max(t[0, 1 + 2 * k] - t[0, 0], start[1 + 2 * k] - start[0]) for k in kinds], np.float32)
+        self.end = max(0.0, float((t[1:, 0] - t[0, 0]).max()))
+        self.step = float(t[1:, 1:].max() - t[0, 0])
 
     @classmethod
     @functools.cache
@@ -106,13 +108,12 @@ class Tagger:
 
     def scores(self, seqs: list[np.ndarray]) -> np.ndarray:
         """Scores of the tags at each character of each window: longest, windows, tags."""
-        n, size, lengths = len(seqs), self.size, [len(s) for s in seqs]
-        longest = max(lengths)
-        x = np.zeros((longest, 2, n), np.int64)
+        n, size, longest = len(seqs), self.size, max(map(len, seqs))
+        back = self.wx.shape[1] // 2
+        x = np.full((longest, 2, n), 2 * back, np.int64)
         for row, s in enumerate(seqs):
             x[: len(s), 0, row] = s
-            x[: len(s), 1, row] = s[::-1]
-        x[:, 1] += self.wx.shape[1] // 2
+            x[longest - len(s) :, 1, row] = s[::-1] + back
         x = x.reshape(longest, 2 * n)
         out = self.w["out"].reshape(2, size, N_TAGS)
         h, c = np.zeros((2, n, size), np.float32), np.zeros((2, n, size), np.float32)
@@ -147,19 +148,20 @@ class Tagger:
                 for way in (0, 1):
                     both[way, t - at : t + 1] = (states[: at + 1, way].reshape(-1, size) @ out[way]).reshape(at + 1, n, N_TAGS)
         e = both[0]
-        for row, k in enumerate(lengths):
-            e[:k, row] += both[1, :k, row][::-1]
-        return e + self.w["bias"]
+        e += both[1, ::-1]
+        e += self.w["bias"]
+        return e
 
     def sure(self, e: np.ndarray) -> np.ndarray:
-        """Characters that no best path tags: every stretch that holds them would lose more by its scores than transitions can win."""
-        worth = (e[:, 1:].max(1) - e[:, 0]).astype(np.float64) + self.step
-        total = np.cumsum(worth)
-        before = np.concatenate([[0.0], total[:-1]])
-        # the best stretch that begins somewhere and ends here, and the best that begins here
-        till = total - np.minimum.accumulate(before)
-        since = np.maximum.accumulate(total[::-1])[::-1] - before
-        return till + since - worth + self.ends < -1e-3
+        """Characters that no best path tags: every row of mentions over them would lose more by its scores than its transitions
+        can win."""
+        most = functools.partial(functools.reduce, np.maximum)
+        total = np.cumsum((most(e[:, k] for k in range(1, N_TAGS)) - e[:, 0]).astype(np.float64) + self.step)
+        begun = most(e[:, 1 + 2 * k] + self.begin[k] for k in range(len(KINDS))) - e[:, 0]
+        # the best row that has begun and goes on to here, and what it can win behind this character
+        till = total + np.maximum.accumulate(begun - total)
+        behind = np.maximum.accumulate(total[::-1])[::-1] - total
+        return till + behind + self.end < -1e-3
 
     def decide(self, scores: np.ndarray, stretches: np.ndarray) -> dict[int, np.ndarray]:
         """Best tags of the stretches that have any, by number.
