@@ -1,5 +1,7 @@
 """Audit trails: bursts of events, reports, and principals and resources that do not belong."""
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,14 +27,14 @@ def trailing_counts(events: DataFrame, keys: list[str], us: str, width_us: int,
     return lent.withColumn(out, F.count("*").over(back)).filter("_at = _slot").drop("_slot", "_at")
 
 
-def anomalies(events: DataFrame, id_col: str, principal: str, us: str, kind: Column) -> DataFrame:
+def anomalies(events: DataFrame, id_col: str, principal: str, us: str, kind: Column, patterns: Sequence[tuple] = PATTERNS) -> DataFrame:
     """Events that complete a burst: id, principal, pattern, n, risk. Each event type belongs to one pattern.
 
     All patterns are counted in one pass: times are stretched so that every pattern's minutes are as long as the longest.
     """
-    longest = max(minutes for *_, minutes, _ in PATTERNS)
+    longest = max(minutes for *_, minutes, _ in patterns)
     rule = F.lit(None).cast("struct<pattern:string,threshold:int,stretch:int,risk:double>")
-    for name, kinds, threshold, minutes, risk in PATTERNS:
+    for name, kinds, threshold, minutes, risk in patterns:
         if longest % minutes:
             raise ValueError(f"{longest} minutes are no multiple of the {minutes} of {name}")
         rule = F.when(kind.isin(*kinds), F.struct(F.lit(name).alias("pattern"), F.lit(threshold).alias("threshold"), F.lit(longest // minutes).alias("stretch"), F.lit(risk).alias("risk"))).otherwise(rule)

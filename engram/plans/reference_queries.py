@@ -653,7 +653,7 @@ def store_upsert(spark: SparkSession, folder: str) -> DataFrame:
 def stream_event_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Audit events per hour and type, from a stream."""
     counted = streams.hourly(streams.source(spark, f"{folder}/audit_events.parquet"), "ts", "event_type")
-    return streams.finished(counted).select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "kind", "events")
+    return streams.finished(counted, ["w", "kind"]).select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "kind", "events")
 
 
 @query(
@@ -663,5 +663,19 @@ def stream_event_counts(spark: SparkSession, folder: str) -> DataFrame:
 )
 def stream_sessions(spark: SparkSession, folder: str) -> DataFrame:
     """Users' sessions, from a stream."""
-    found = streams.user_sessions(streams.source(spark, f"{folder}/events.parquet"), "user_id", "ts")
-    return streams.finished(found).select("user_id", F.col("first_at").cast("timestamp_ntz").alias("first_at"), F.col("last_at").cast("timestamp_ntz").alias("last_at"), "events")
+    given = streams.source(spark, f"{folder}/events.parquet").select("user_id", "ts").filter("ts IS NOT NULL")
+    found = streams.closed(given, lambda events: streams.user_sessions(events, "user_id", "ts"), "ts")
+    return found.select("user_id", F.col("first_at").cast("timestamp_ntz").alias("first_at"), F.col("last_at").cast("timestamp_ntz").alias("last_at"), "events")
+
+
+@query(
+    """WITH g AS (SELECT user_id, ts, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM events WHERE ts IS NOT NULL),
+    s AS (SELECT *, sum(CASE WHEN gap < 1800000000 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts) AS run FROM g),
+    t AS (SELECT user_id, min(ts) AS first_at, max(ts) AS last_at, count(*) AS events FROM s GROUP BY user_id, run)
+    SELECT * FROM t WHERE epoch_us(last_at) + 1800000000 <= (SELECT epoch_ms(max(ts)) * 1000 FROM events) - 2 * 86400000000"""
+)
+def stream_closed_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    """Users' sessions that a watermark of two days has closed, from a stream."""
+    given = streams.source(spark, f"{folder}/events.parquet").select("user_id", "ts").filter("ts IS NOT NULL")
+    found = streams.closed(given, lambda events: streams.user_sessions(events, "user_id", "ts"), "ts", flush=False)
+    return found.select("user_id", F.col("first_at").cast("timestamp_ntz").alias("first_at"), F.col("last_at").cast("timestamp_ntz").alias("last_at"), "events")

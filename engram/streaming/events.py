@@ -17,19 +17,54 @@ def source(spark: SparkSession, path: str, files_per_batch: int = 8) -> DataFram
     return reader.option("pathGlobFilter", at.getName()).parquet(at.getParent().toString()) if one else reader.parquet(path)
 
 
-def finished(stream: DataFrame) -> DataFrame:
-    """Run an aggregated stream over all that is there and give its last state."""
+def finished(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """Run an aggregated stream over all that is there, in update mode, and give its last state, one row per `keys`.
+
+    Each batch appends the rows that it changed, numbered by the batch, so a batch that is run again writes the same folder
+    again; the newest row of each key counts. State older than the watermark is dropped by Spark.
+    """
     spark = stream.sparkSession
     scratch = Scratch(spark)
-    out: dict[str, str] = {}
 
     def keep(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{scratch.folder}/state-{n}")
-        out["path"] = f"{scratch.folder}/state-{n}"
+        batch.write.mode("overwrite").parquet(f"{scratch.folder}/changed/batch={n}")
 
-    query = stream.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{scratch.folder}/checkpoint").trigger(availableNow=True).start()
+    query = stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{scratch.folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out["path"]) if out else spark.createDataFrame([], stream.schema)
+    if not _there(spark, f"{scratch.folder}/changed"):
+        return spark.createDataFrame([], stream.schema)
+    changed = spark.read.parquet(f"{scratch.folder}/changed")
+    rest = [c for c in stream.columns if c not in keys]
+    return changed.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_last")).select(*keys, "_last.*").select(stream.columns)
+
+
+def closed(events: DataFrame, windowed: Callable[[DataFrame], DataFrame], at: str, flush: bool = True) -> DataFrame:
+    """Run a windowed stream over all events that are there, in append mode: the windows that the watermark has closed, each once.
+
+    flush: when the events are used up, one row of the far future, null but for its time, moves the watermark past all of
+    them, so that the open windows close too.
+    """
+    spark = events.sparkSession
+    scratch = Scratch(spark)
+    out, ending = f"{scratch.folder}/closed", f"{scratch.folder}/ending"
+    blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema.fields if f.name != at]
+    row = spark.range(1).select(*blank, F.expr("timestamp'9000-01-01 00:00:00'").cast(events.schema[at].dataType).alias(at)).select(events.columns)
+    row.limit(0).write.parquet(ending)
+    stream = windowed(events.unionByName(spark.readStream.schema(events.schema).parquet(ending)))
+
+    def run() -> None:
+        stream.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", f"{scratch.folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+    run()
+    if flush:
+        row.write.mode("append").parquet(ending)
+        run()
+    return spark.read.schema(stream.schema).parquet(out) if _there(spark, out) else spark.createDataFrame([], stream.schema)
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
 def hourly(events: DataFrame, at: str, kind: str, late: str = "2 days") -> DataFrame:

@@ -1,9 +1,9 @@
 import pytest
 
-from engram.plans import core_queries, more_queries, reference_queries
+from engram.plans import core_queries, more_queries, record_queries, reference_queries
 from tests.parity import FOLDER, same
 
-MODULES = (core_queries, reference_queries, more_queries)
+MODULES = (core_queries, reference_queries, more_queries, record_queries)
 WITH_SQL = [(m, n) for m in MODULES for n in m.ORACLE_SQL]
 WITHOUT = [(m, n) for m in MODULES for n in m.QUERIES if n not in m.ORACLE_SQL]
 needs_tables = pytest.mark.skipif(not FOLDER.exists(), reason="no test tables here")
