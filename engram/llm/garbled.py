@@ -22,7 +22,7 @@ import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -202,13 +202,14 @@ def hashed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a * 0x9E3779B1) ^ (b * 0x85EBCA6B)) >> 5 & (BUCKETS - 1)
 
 
-def pieces(run: str) -> list[str]:
+@functools.lru_cache(200_000)
+def pieces(run: str) -> tuple[str, ...]:
     """A run, or its quotes at both ends apart from what they enclose, where only that can have been UTF-8 (or any chain's)."""
     core = run.strip(_QUOTES)
     if not core or core == run or was_utf8(run) or undone(run) and not was_utf8(core):
-        return [run]
+        return (run,)
     lead = len(run) - len(run.lstrip(_QUOTES))
-    return [p for p in (run[:lead], core, run[lead + len(core) :]) if p]
+    return tuple(p for p in (run[:lead], core, run[lead + len(core) :]) if p)
 
 
 def found(line: str) -> list[tuple[int, int]]:
@@ -355,22 +356,20 @@ class Judge:
             self.priors[group] = np.log(start if seen is None else (seen + 200.0 * start) / (seen.sum() + 200.0))
         return self.priors[group]
 
-    def __call__(self, batch: pd.DataFrame) -> tuple[np.ndarray, list[np.ndarray | None]]:
+    def __call__(self, batch: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray | None]]:
         """Posterior of the chains of each line, and of garbled ones which runs the likeliest chain made; counts them."""
-        if not len(batch):
+        if not batch.num_rows:
             return np.zeros((0, len(CHAINS))), []
-        lines = [list(x) for x in batch["items"]]
-        flat = [t for line in lines for t in line]
-        if len(self.at) > self.KNOWN:
-            self.settle()
-        if new := [t for t in dict.fromkeys(flat) if t not in self.at]:
-            self.learn(new)
-        at = np.array([self.at[t] for t in flat])
-        sizes = np.array([len(x) for x in lines])
+        names, number, sizes = unpacked(batch)
+        at = self.places_of(names)[number]
         starts = np.cumsum(sizes) - sizes
-        groups = batch["group"].tolist()
-        given = batch["shares"].tolist() if "shares" in batch else [None] * len(groups)
-        prior = np.stack([self.prior_of(g, s) for g, s in zip(groups, given)])
+        groups = batch.column("group").dictionary_encode()
+        group, named = groups.indices.to_numpy(), groups.dictionary.to_pylist()
+        given = [None] * len(named)
+        if "shares" in batch.schema.names:
+            firsts = np.unique(group, return_index=True)[1]
+            given = batch.column("shares").take(pa.array(firsts)).to_pylist()
+        prior = np.stack([self.prior_of(g, s) for g, s in zip(named, given, strict=True)])[group]
         gains = self.gains[at]
         score = prior + np.add.reduceat(gains, starts)
         # no mixture gives more than the sum of the gains of the runs that speak for a chain
@@ -386,30 +385,33 @@ class Judge:
         p = np.exp(score)
         p /= p.sum(1, keepdims=True)
         best = p[:, 1:].argmax(1) + 1
-        wrong = np.ones(len(flat), bool)
+        wrong = np.ones(len(at), bool)
         for k, parts in partly.items():
             if int(best[k]) in parts:
                 wrong[starts[k] : starts[k] + sizes[k]] = parts[int(best[k])]
-        self.count(p, best, wrong, at, flat, sizes, starts, groups)
-        return p, [wrong[starts[k] : starts[k] + sizes[k]] if p[k, 0] < 0.5 else None for k in range(len(lines))]
-
-    def count(self, p, best, wrong, at, flat, sizes, starts, groups) -> None:
-        clean = np.repeat(p[:, 0], sizes)
-        quoted = self.quoted[at]
-        np.add.at(self.weights, at, np.where(wrong, clean**DOUBT, 1.0) * (1 - quoted))
-        np.add.at(self.cites, at, clean * quoted)
+        clean, quoted = np.repeat(p[:, 0], sizes), self.quoted[at]
+        self.weights += np.bincount(at, np.where(wrong, clean**DOUBT, 1.0) * (1 - quoted), len(self.weights))
+        self.cites += np.bincount(at, clean * quoted, len(self.cites))
         texts, weights = [], []
         for k in np.flatnonzero((p[:, 0] < 0.5) & (best < len(CHAINS) - 1)):
             for n in range(starts[k], starts[k] + sizes[k]):
-                run = flat[n][6:-1]
-                if wrong[n] and (real := undo(run, CHAINS[best[k]])):
-                    texts.append(flat[n][5] + real + flat[n][-1])
+                item = names[number[n]]
+                if wrong[n] and (real := undo(item[6:-1], CHAINS[best[k]])):
+                    texts.append(item[5] + real + item[-1])
                     weights.append(p[k, best[k]])
         self.next.teach(texts, np.array(weights))
         self.next.n["lines"] += [p[:, 0].sum(), p[:, 1:].sum()]
-        kinds = pd.factorize(np.array(groups, dtype=object))
-        for n, group in enumerate(kinds[1]):
-            self.groups[group] = self.groups.get(group, 0) + p[kinds[0] == n].sum(0)
+        for n, name in enumerate(named):
+            self.groups[name] = self.groups.get(name, 0) + p[group == n].sum(0)
+        return p, [wrong[starts[k] : starts[k] + sizes[k]] if p[k, 0] < 0.5 else None for k in range(len(p))]
+
+    def places_of(self, names: list[str]) -> np.ndarray:
+        """Where the runs are remembered; new ones are learnt."""
+        if len(self.at) > self.KNOWN:
+            self.settle()
+        if new := [t for t in names if t not in self.at]:
+            self.learn(new)
+        return np.array([self.at[t] for t in names], np.int64)
 
     def settle(self) -> None:
         """Count what the remembered runs have gathered, and forget them."""
@@ -425,10 +427,18 @@ class Judge:
             n["clean words"] += np.bincount(word[alone & (size == 1)], self.weights[alone & (size == 1)], 65536)
         self.reset()
 
-    def rows(self) -> pd.DataFrame:
+    def rows(self) -> pa.RecordBatch:
         self.settle()
         out = self.next.rows() + [(f"of {g}", str(k), float(v)) for g, shares in self.groups.items() for k, v in enumerate(shares) if v > 0]
-        return pd.DataFrame(out, columns=["what", "at", "n"])
+        what, at, n = zip(*out) if out else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(what, pa.string()), pa.array(at, pa.string()), pa.array(n, pa.float64())], names=["what", "at", "n"])
+
+
+def unpacked(batch: pa.RecordBatch) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The different items of a batch of lines, which of them each run is, and how many runs each line has."""
+    column = batch.column("items")
+    coded = column.flatten().dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), np.diff(column.offsets.to_numpy())
 
 
 def lines_of(df: DataFrame, key: str, source: str | None, fields: Sequence[str]) -> DataFrame:
@@ -443,11 +453,13 @@ def lines_of(df: DataFrame, key: str, source: str | None, fields: Sequence[str])
         out = out.unionByName(more)
     kind = out.schema["key"].dataType.simpleString()
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.assign(items=[items(line) for line in batch["line"]])[["key", "field", "group", "nth", "line", "items"]]
+            found = pa.array([items(line) for line in batch.column("line").to_pylist()], pa.list_(pa.string()))
+            names = ["key", "field", "group", "nth", "line"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(name) for name in names), found], names=[*names, "items"])
 
-    return out.mapInPandas(parse, f"key {kind}, field string, group string, nth int, line string, items array<string>")
+    return out.mapInArrow(parse, f"key {kind}, field string, group string, nth int, line string, items array<string>")
 
 
 class Shares:
@@ -475,24 +487,22 @@ def _estimate(lines: DataFrame, scratch: Scratch) -> tuple[State, Shares | None,
     """
     kind, spark = "what string, at string, n double", scratch.spark
 
-    def begin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        judge, n = Judge(State(), None), 0
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = Judge(State(), None)
         for batch in batches:
-            if len(judge.at) > judge.KNOWN:
-                judge.settle()
-            flat = [t for line in batch["items"] for t in line]
-            if new := [t for t in dict.fromkeys(flat) if t not in judge.at]:
-                judge.learn(new)
-            at = np.array([judge.at[t] for t in flat], np.int64)
-            np.add.at(judge.weights, at, np.array([CHANCE ** was_utf8(t[6:-1]) for t in flat]))
-            n += len(batch)
-        judge.next.n["lines"][0] += n
+            names, number, _ = unpacked(batch)
+            if not names:
+                continue
+            at = judge.places_of(names)
+            times = np.bincount(number, minlength=len(names))
+            judge.weights += np.bincount(at, times * np.array([CHANCE ** was_utf8(t[6:-1]) for t in names]), len(judge.weights))
+            judge.next.n["lines"][0] += batch.num_rows
         yield judge.rows()
 
     def judged(state: State, shares: Shares | None, prior: float):
         held = spark.sparkContext.broadcast((state, None if shares is None else shares.few))
 
-        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             judge = Judge(*held.value, prior)
             for batch in batches:
                 judge(batch)
@@ -508,12 +518,12 @@ def _estimate(lines: DataFrame, scratch: Scratch) -> tuple[State, Shares | None,
             state.n[what][part["at"].astype(int).to_numpy()] = part["n"].to_numpy()
         return state, sums
 
-    state, old = totals(lines.mapInPandas(begin, kind))
+    state, old = totals(lines.mapInArrow(begin, kind))
     scratch.drop(old)
     rows, shares, before, counted = int(round(state.n["lines"].sum())), None, -1.0, None
     for turn in range(MOST):
         given = lines if shares is None else shares.beside(lines, rows)
-        state, sums = totals(given.mapInPandas(judged(state, shares, PRIOR if turn else OPEN), kind))
+        state, sums = totals(given.mapInArrow(judged(state, shares, PRIOR if turn else OPEN), kind))
         shares = Shares(sums)
         if counted is not None:
             scratch.drop(counted)
@@ -537,18 +547,21 @@ def garbled_lines(df: DataFrame, key: str, source: str | None, fields: Sequence[
     state, shares, rows = _estimate(lines, scratch)
     known = df.sparkSession.sparkContext.broadcast((state, shares.few))
 
-    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(*known.value)
         for batch in batches:
             p, made = judge(batch)
-            out = []
-            for k in np.flatnonzero(p[:, 0] < 0.5):
-                r, chain = batch.iloc[k], CHAINS[int(p[k, 1:].argmax()) + 1]
-                out.append((r["key"], r["field"], r["nth"], r["line"], chain, float(1 - p[k, 0]), restore(r["line"], chain, made[k])))
-            yield pd.DataFrame(out, columns=["key", "field", "nth", "line", "chain", "probability", "restored"])
+            at = np.flatnonzero(p[:, 0] < 0.5)
+            some = batch.take(pa.array(at, pa.int64()))
+            chains = [CHAINS[int(p[k, 1:].argmax()) + 1] for k in at]
+            restored = [restore(line, chain, made[k]) for line, chain, k in zip(some.column("line").to_pylist(), chains, at)]
+            names = ["key", "field", "nth", "line"]
+            yield pa.RecordBatch.from_arrays(
+                [*(some.column(name) for name in names), pa.array(chains, pa.string()), pa.array(1 - p[at, 0], pa.float64()), pa.array(restored, pa.string())], names=[*names, "chain", "probability", "restored"]
+            )
 
     kind = lines.schema["key"].dataType.simpleString()
-    return shares.beside(lines, rows).mapInPandas(decide, f"key {kind}, field string, nth int, line string, chain string, probability double, restored string")
+    return shares.beside(lines, rows).mapInArrow(decide, f"key {kind}, field string, nth int, line string, chain string, probability double, restored string")
 
 
 def restore(line: str, chain: str, made: Sequence[bool]) -> str | None:
