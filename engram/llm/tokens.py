@@ -12,6 +12,7 @@ across their border would have been merged while both of its halves stood next t
 
 import base64
 import functools
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,6 +26,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A worker forgets its known words beyond this many.
 KNOWN = 400_000
+#: Ids that are held before they are handed on.
+FLUSH = 2_000_000
 
 
 class Vocabulary:
@@ -180,15 +183,17 @@ def token_ids(df: DataFrame, key: str, text: str, path: str = VOCABULARY) -> Dat
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary.load(path)
         for batch in batches:
-            flat: list[int] = []
-            offsets = [0]
-            for value in batch.column(1):
+            keys, at, flat, offsets = batch.column(0), 0, array("i"), [0]
+            for n, value in enumerate(batch.column(1), 1):
                 given = value.as_py()
                 if given:
-                    flat += vocabulary.encode(given)
+                    flat.extend(vocabulary.encode(given))
                 offsets.append(len(flat))
-            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=[key, "ids"])
+                # long texts: no more than FLUSH ids are held besides those of one text
+                if len(flat) > FLUSH or n == batch.num_rows:
+                    ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.Array.from_buffers(pa.int32(), len(flat), [None, pa.py_buffer(flat)]))
+                    yield pa.RecordBatch.from_arrays([keys.slice(at, n - at), ids], names=[key, "ids"])
+                    at, flat, offsets = n, array("i"), [0]
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(F.col(key), F.col(text).alias("_text")).mapInArrow(encode, f"`{key}` {kind}, ids array<int>")
