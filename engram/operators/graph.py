@@ -3,6 +3,9 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from engram.plans.lineage import Scratch
+from engram.plans.skew import hot_keys, join_unique
+
 
 def undirected(edges: DataFrame, source: str, target: str, weight: str, least: float) -> DataFrame:
     """Distinct edges a < b with their highest weight; rows with missing or equal ends or a weight below `least`, null or NaN are left out."""
@@ -38,11 +41,16 @@ def clustering(pairs: DataFrame) -> DataFrame:
     """node, degree, triangles and clustering coefficient 2T / (d (d - 1)), 0 below two neighbours.
 
     Each edge is directed from its end of lower degree, so a node has no more than sqrt(2 m) outgoing edges
-    however many neighbours it has, and wedges are only built from those.
+    however many neighbours it has, and wedges are only built from those. Edges are written when this is called.
     """
-    d = degrees(pairs)
-    rank = lambda side: d.select(F.col("node").alias(side), F.col("degree").alias(f"d{side}"))
-    ranked = pairs.select("a", "b").join(rank("a"), "a").join(rank("b"), "b")
+    scratch = Scratch(pairs.sparkSession)
+    pairs, seen = scratch.counted(pairs.select("a", "b"))
+    d = scratch.write(degrees(pairs))
+    hot = hot_keys(d, "node", "degree", 2 * seen["n"])
+    ranked = pairs
+    for side in ("a", "b"):
+        rank = d.select(F.col("node").alias(side), F.col("degree").alias(f"d{side}"))
+        ranked = join_unique(ranked, rank, side, None if hot is None else hot.withColumnRenamed("node", side), "inner")
     low = F.struct("da", "a") < F.struct("db", "b")
     out = ranked.select(F.when(low, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(low, F.col("b")).otherwise(F.col("a")).alias("v"))
     wedges = out.join(out.withColumnRenamed("v", "w"), "u").filter("v < w")

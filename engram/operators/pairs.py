@@ -3,6 +3,9 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from engram.plans.lineage import Scratch
+from engram.plans.skew import HOT_FLOOR, hot_keys, join_unique
+
 from engram.functions.scoring import nearness
 from engram.functions.text import content_words
 
@@ -33,12 +36,18 @@ def compare(pairs: DataFrame, memories: DataFrame, most: int | None = None) -> D
     """Pairs (a, b) of memories (key, text, us, source) that both exist, with their similarities and relation.
 
     places compares whole texts, or their first `most` characters if that is given. Words are taken once per memory, before
-    the joins. A null text counts as empty, an unknown time as far away.
+    the joins. A null text counts as empty, an unknown time as far away. The keys of memories are unique. Pairs are written when
+    this is called.
     """
     side = memories.select("key", F.coalesce("text", F.lit("")).alias("text"), "us", "source").withColumn("words", content_words(F.col("text")))
     left = side.select(*[F.col(c).alias({"key": "a"}.get(c, f"{c}_a")) for c in side.columns])
     right = side.select(*[F.col(c).alias({"key": "b"}.get(c, f"{c}_b")) for c in side.columns])
-    both = pairs.select("a", "b").join(left, "a").join(right, "b")
+    scratch = Scratch(pairs.sparkSession)
+    both, seen = scratch.counted(pairs.select("a", "b"))
+    # a hub's memory meets its pairs by broadcast; hubs are few, as they are hot
+    for end, memory in (("a", left), ("b", right)):
+        links = scratch.write(both.groupBy(end).agg(F.count("*").alias("n"))) if seen["n"] > HOT_FLOOR else None
+        both = join_unique(both, memory, end, None if links is None else hot_keys(links, end, "n", seen["n"]), "inner")
     begin = [F.col(c) if most is None else F.substring(c, 1, most) for c in ("text_a", "text_b")]
     both = both.withColumns({
         "content": jaccard(F.col("words_a"), F.col("words_b")),

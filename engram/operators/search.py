@@ -100,13 +100,21 @@ def nearest(df: DataFrame, key: str, vector: str, queries: DataFrame, k: int) ->
     return scored.withColumn("place", place).filter(F.col("place") <= k).select("query", F.col("key").alias(key), "distance")
 
 
-def neighbours_in_time(df: DataFrame, key: str, us: str, within_us: int) -> DataFrame:
+def neighbours_in_time(df: DataFrame, key: str, us: str, within_us: int, parts: int = 60) -> DataFrame:
     """For each row the one before it in time, if it is within that long: key, before, proximity (1 - gap / within).
 
-    Rows are lent to the next slot of that length, so no window holds more than two slots.
+    Time is cut into slots, `parts` of them as long as within_us. Rows are ordered within their slot only; the last row of each
+    slot is lent to the `parts` slots behind it, for their first rows. A bulk load meets in one task only as far as its times
+    lie in one slot: more parts make slots shorter. Rows without a time are left out.
     """
-    slot = F.floor((F.col(us) - F.pmod(F.col(us), F.lit(within_us))) / within_us)
-    lent = df.filter(F.col(us).isNotNull()).select(F.col(key).alias("key"), F.col(us).alias("us"), slot.alias("at")).withColumn("slot", F.explode(F.array(F.col("at"), F.col("at") + 1)))
+    fine = -(-within_us // parts)
+    slot = F.floor((F.col(us) - F.pmod(F.col(us), F.lit(fine))) / fine)
+    given = df.filter(F.col(us).isNotNull()).select(F.col(key).alias("key"), F.col(us).alias("us"), slot.alias("slot"))
+    last = given.groupBy("slot").agg(F.max(F.struct("us", "key")).alias("last"))
+    behind = last.select("slot", "last", F.explode(F.sequence(F.lit(1), F.lit(parts))).alias("k"))
+    lent = behind.groupBy((F.col("slot") + F.col("k")).alias("slot")).agg(F.max("last").alias("lent"))
     w = Window.partitionBy("slot").orderBy("us", "key")
-    seen = lent.withColumns({"before": F.lag("key").over(w), "gap": F.col("us") - F.lag("us").over(w)}).filter("at = slot AND gap <= " + str(within_us))
-    return seen.select(F.col("key").alias(key), "before", (1 - F.col("gap") / within_us).alias("proximity"))
+    inner = given.withColumn("inner", F.lag(F.struct("us", "key")).over(w))
+    before = inner.join(lent, "slot", "left").select("key", "us", F.coalesce("inner", "lent").alias("before"))
+    gap = F.col("us") - F.col("before.us")
+    return before.filter(gap <= within_us).select(F.col("key").alias(key), F.col("before.key").alias("before"), (1 - gap / within_us).alias("proximity"))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from engram.functions.text import words
 from engram.plans.lineage import Scratch
+from engram.plans.skew import find_hot, join_unique
 
 SHINGLE, SIMILAR = 5, 0.8
 
@@ -13,7 +14,8 @@ def exact_groups(df: DataFrame, key: str, text: str) -> DataFrame:
     """Membership in classes of equal texts: key, digest, class_id (the smallest key), members. Null texts are left out."""
     given = df.filter(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.sha2(text, 256).alias("digest"))
     classes = given.groupBy("digest").agg(F.min("key").alias("class_id"), F.count("*").alias("members"))
-    return given.join(classes, "digest").select(F.col("key").alias(key), "digest", "class_id", "members")
+    # the empty text and the like may be a third of all
+    return join_unique(given, classes, "digest", find_hot(given, "digest"), "inner").select(F.col("key").alias(key), "digest", "class_id", "members")
 
 
 def merged(df: DataFrame, key: str, text: str, created: str, label: str) -> DataFrame:

@@ -21,6 +21,12 @@ def hot_keys(counted: DataFrame, key: str, n: str, rows: int) -> DataFrame | Non
     return None if hot.isEmpty() else hot
 
 
+def find_hot(df: DataFrame, key: str) -> DataFrame | None:
+    """The hot keys of a table whose rows are cheap to count: it is read once for the number of rows, and again only if there
+    are enough of them for a key to be hot."""
+    return hot_keys(df.groupBy(key).agg(F.count("*").alias("n")), key, "n", df.count())
+
+
 def join_unique(left: DataFrame, right: DataFrame, key: str, hot: DataFrame | None, how: str = "left") -> DataFrame:
     """left join right on `key`, where right holds each key once and left may be very uneven.
 

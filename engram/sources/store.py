@@ -31,7 +31,11 @@ def alive(df: DataFrame, updated: str, ttl_seconds: Column, as_of: Column) -> Da
 
 
 def publish(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Write a table whole: readers see the old one or the new one, as the rename of the staged folder is the last step."""
+    """Write a table whole and put it in the place of the old one by renaming folders.
+
+    A reader that begins between the two renames finds no table, and where a rename is a copy (object stores) that takes its
+    time; a rename that fails raises, with the old table left in `path`.old.
+    """
     spark = df.sparkSession
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
@@ -40,6 +44,11 @@ def publish(df: DataFrame, path: str, partition_by: list[str] | None = None) ->
     fs = at(path).getFileSystem(conf)
     fs.delete(at(old), True)
     if fs.exists(at(path)):
-        fs.rename(at(path), at(old))
-    fs.rename(at(staged), at(path))
+        _renamed(fs.rename(at(path), at(old)), path)
+    _renamed(fs.rename(at(staged), at(path)), staged)
     fs.delete(at(old), True)
+
+
+def _renamed(done: bool, path: str) -> None:
+    if not done:
+        raise OSError(f"{path} could not be renamed")

@@ -15,3 +15,18 @@ def test_nearest_answers_every_query(spark, monkeypatch):
     monkeypatch.setattr(search, "QUERY_BLOCK", 1)
     again = {(r.query, r.id) for r in search.nearest(df, "id", "v", queries, 3).collect()}
     assert again == {(q, i) for q, found in got.items() for _, i in found}
+
+
+def test_neighbours_in_time_against_brute_force(spark):
+    import random
+
+    from engram.operators.search import neighbours_in_time
+
+    rng = random.Random(3)
+    rows = [(f"k{k:03d}", rng.choice([rng.randrange(0, 40_000), rng.randrange(0, 300), 500])) for k in range(300)] + [("none", None)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "id string, us long, slot string, last int")
+    for within, parts in ((1000, 60), (997, 7), (50, 1)):
+        got = {(r.id, r.before, round(r.proximity, 9)) for r in neighbours_in_time(df, "id", "us", within, parts).collect()}
+        ordered = sorted((u, i) for i, u in rows if u is not None)
+        want = {(i, j, round(1 - (u - v) / within, 9)) for (v, j), (u, i) in zip(ordered, ordered[1:]) if u - v <= within}
+        assert got == want
