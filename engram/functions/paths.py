@@ -68,3 +68,44 @@ def link_strength(kind: Column) -> Column:
     for name, value in LINK_WORTH.items():
         worth = F.when(kind == name, value).otherwise(worth)
     return (worth + F.lit(sum(LINK_PARTS))) / (1 + len(LINK_PARTS))
+
+# Words in a path and the class that they give it, the first class that fits.
+PATH_CLASSES = (("secret", ("secret", "credential", "auth")), ("confidential", ("private", "confidential")), ("internal", ("internal", "workspace")))
+# Shapes of values that look encrypted, in base64 or hexadecimal digits.
+SEALED = r"^(?:[A-Za-z0-9+/]{32,}={0,2}|[0-9a-fA-F]{32,})$"
+
+_DASHED = r"^\d{2}-\d{2}-\d{2}(\.\d{3})?$"
+
+
+def key_of(kind: Column, *parts: Column) -> Column:
+    """memory:kind:part:part, in which the colons of clock times become dashes; null parts are left out."""
+    safe = [F.when(p.rlike(r"^\d{2}:\d{2}:\d{2}(\.\d{3})?$"), F.replace(p, F.lit(":"), F.lit("-"))).otherwise(p) for p in parts]
+    return F.concat_ws(":", F.lit("memory"), kind, *safe)
+
+
+def parts_of(key: Column) -> Column:
+    """Parts of a key behind its kind, clock times with their colons again; null where the key has no part.
+
+    A clock time whose hour is 20 looks like the beginning of a year and keeps its dashes.
+    """
+    parts = F.split(key, ":")
+    back = lambda p: F.when(p.rlike(_DASHED) & ~F.startswith(p, F.lit("20")), F.replace(p, F.lit("-"), F.lit(":"))).otherwise(p)
+    return F.when(F.size(parts) >= 3, F.transform(F.slice(parts, 3, F.greatest(F.size(parts) - 2, F.lit(1))), back))
+
+
+def file_name(path: Column) -> Column:
+    """A path as the name of a file: no steps upwards, no slashes, 255 characters at most."""
+    return F.substring(F.regexp_replace(F.replace(path, F.lit(".."), F.lit("")), r"[/\\]", "_"), 1, 255)
+
+
+def path_class(path: Column) -> Column:
+    """secret, confidential, internal or public, by words in a path."""
+    low, out = F.lower(path), F.lit("public")
+    for name, words in reversed(PATH_CLASSES):
+        out = F.when(low.rlike("|".join(words)), name).otherwise(out)
+    return F.when(path.isNotNull(), out)
+
+
+def looks_sealed(value: Column) -> Column:
+    """Whether a value looks encrypted; null stays null."""
+    return value.rlike(SEALED)

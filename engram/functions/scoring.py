@@ -66,3 +66,13 @@ def importance_rank(name: Column) -> Column:
     for word, rank in RANKS:
         out = F.when(F.lower(name) == word, rank).otherwise(out)
     return out
+
+
+def content_quality(fields, text: Column, has_tags: Column, has_source: Column) -> Column:
+    """0.4 of the share of fields that are filled, 0.3 for a good length (half of that for a fair one), 0.15 each for tags and a
+    source; 1 at most. Null and empty count as not filled, a null text as empty."""
+    filled = sum((F.coalesce(F.col(f).cast("string"), F.lit("")) != "").cast("int") for f in fields)
+    size = F.length(F.coalesce(text, F.lit("")))
+    fair = F.when(size.between(50, 5000), 0.3).when(size.between(10, 10_000), 0.15).otherwise(0.0)
+    extra = F.when(has_tags, 0.15).otherwise(0.0) + F.when(has_source, 0.15).otherwise(0.0)
+    return F.least(F.lit(1.0), filled / F.lit(float(len(fields))) * 0.4 + fair + extra)

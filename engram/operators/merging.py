@@ -6,9 +6,11 @@ us, then id. All aggregates combine before the shuffle, so a memory with a third
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from engram.plans.skew import find_hot, join_unique
+
 
 def facts(records: DataFrame, id_col: str, memory: str, us: str, fields: Sequence[str]) -> DataFrame:
     """id, memory, us, field, value of records; those without id, memory or time are left out, null values stay."""
@@ -89,8 +91,6 @@ def patched(records: DataFrame, patches: DataFrame, id_col: str, column: str) ->
 def log_entries(events: DataFrame, log: str, us: str, id_col: str) -> DataFrame:
     """Events as entries of append-only logs: log, entry (milliseconds-number), id. The number counts the entries of a log in
     one millisecond, so no more than those meet in one place."""
-    from pyspark.sql import Window
-
     ms = F.floor(F.col(us) / 1000)
     nth = F.row_number().over(Window.partitionBy(log, "_ms").orderBy(us, id_col)) - 1
     given = events.filter(F.col(log).isNotNull() & F.col(us).isNotNull()).withColumn("_ms", ms)
@@ -100,3 +100,20 @@ def log_entries(events: DataFrame, log: str, us: str, id_col: str) -> DataFrame:
 def entry_millis(entry: Column) -> Column:
     """Milliseconds since 1970 of an entry's id, null where it is none."""
     return F.when(entry.rlike(r"^\d+-\d+$"), F.substring_index(entry, "-", 1).try_cast("long"))
+
+
+def flattened(df: DataFrame, key: str, fields: Sequence[str], tags: str) -> DataFrame:
+    """key, field, value: the fields as text, and each member of the list as tag:0, tag:1 and so on; nulls are left out."""
+    plain = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields))
+    listed = F.transform(F.coalesce(tags, F.array().cast("array<string>")), lambda v, i: F.struct(F.concat(F.lit("tag:"), i.cast("string")).alias("field"), v.alias("value")))
+    return df.select(key, F.explode(F.concat(plain, listed)).alias("entry")).select(key, "entry.*").filter("value IS NOT NULL")
+
+
+def recent(records: DataFrame, memory: str, us: str, days: int, kind: Column) -> DataFrame:
+    """memory, accesses, last_us: records of a kind in the last `days` before the last record of their memory. A hot
+    memory meets its last time by broadcast."""
+    day = 86_400_000_000
+    last = records.groupBy(memory).agg(F.max(us).alias("_last"))
+    of_kind = records.filter(kind)
+    given = join_unique(of_kind, last, memory, find_hot(of_kind, memory), "inner").filter(F.col(us) > F.col("_last") - days * day)
+    return given.groupBy(memory).agg(F.count("*").alias("accesses"), F.max(us).alias("last_us"))

@@ -40,6 +40,14 @@ def messages(df: DataFrame, key: str, text: str) -> DataFrame:
     return said.select(F.col("key").alias(key), "turn", F.substring_index("line", ": ", 1).alias("role"), F.expr("substring(line, instr(line, ': ') + 2)").alias("content"))
 
 
+def previews(said: DataFrame, key: str, first: int = 3, length: int = 200) -> DataFrame:
+    """key, messages, preview: the first messages of a chat, joined and cut."""
+    nth = F.row_number().over(Window.partitionBy(key).orderBy("turn"))
+    numbered = said.withColumn("nth", nth)
+    early = F.transform(F.sort_array(F.collect_list(F.when(F.col("nth") <= first, F.struct("nth", "content")))), lambda m: m["content"])
+    return numbered.groupBy(key).agg(F.count("*").alias("messages"), F.substring(F.array_join(early, " "), 1, length).alias("preview"))
+
+
 def chat_sessions(said: DataFrame, key: str) -> DataFrame:
     """Sessions of a chat: one begins at the first user message and at each that follows an assistant's.
 

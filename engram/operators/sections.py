@@ -56,3 +56,40 @@ def surroundings(chunks: DataFrame, doc: str, start: str, id_col: str, content:
     given = chunks.filter(F.col(doc).isNotNull())
     before, behind = F.lag(F.right(F.col(content), F.lit(width))).over(order), F.lead(F.left(F.col(content), F.lit(width))).over(order)
     return given.select(F.col(id_col).alias("id"), F.trim(before).alias("before"), F.trim(behind).alias("behind"))
+
+# Headings by number and their level.
+NUMBERED = ((r"^\d+\.\d+\.\d+\.?\s+(.+)$", 3), (r"^\d+\.\d+\.?\s+(.+)$", 2), (r"^\d+\.\s+(.+)$", 1))
+# Words that two chunks share without a meaning.
+COMMON_WORDS = ("the", "a", "an", "is", "are", "was", "were", "in", "on", "at", "to", "for")
+
+
+def numbered_headings(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, nth line, level, title of headings by number (1., 1.1., 1.1.1.)."""
+    lines = df.select(key, F.posexplode(F.split(F.col(text), "\n")).alias("nth", "line"))
+    level, title = F.lit(None).cast("int"), F.lit(None).cast("string")
+    for pattern, n in reversed(NUMBERED):
+        level = F.when(F.col("line").rlike(pattern), n).otherwise(level)
+        title = F.when(F.col("line").rlike(pattern), F.regexp_extract("line", pattern, 1)).otherwise(title)
+    return lines.select(key, "nth", level.alias("level"), title.alias("title")).filter("level IS NOT NULL")
+
+
+def nested_sections(df: DataFrame, key: str, content: str, deepest: int = 6) -> DataFrame:
+    """key, level, path of the keys of JSON objects and of objects in them, to `deepest` levels; keys are letters, digits and _."""
+    at = df.select(key, F.lit("$").alias("path"), F.col(content).alias("body"), F.lit(0).alias("level"))
+    out = None
+    for _ in range(deepest):
+        found = at.filter(F.ltrim("body").startswith("{")).select(key, "path", "body", "level", F.explode(F.json_object_keys("body")).alias("name"))
+        at = found.select(key, F.concat("path", F.lit("."), "name").alias("path"), F.expr("get_json_object(body, concat('$.', name))").alias("body"), (F.col("level") + 1).alias("level"))
+        out = at if out is None else out.unionByName(at)
+    return out.select(key, "level", F.expr("substring(path, 3)").alias("path"))
+
+
+def shared_words(chunks: DataFrame, doc: str, start: str, id_col: str, content: str, most: int = 5) -> DataFrame:
+    """id, next, shared: for each chunk and the one behind it in its document the longer words (six letters and more) that both
+    have, the first `most` in order of spelling; pairs without any are left out."""
+    order = Window.partitionBy(doc).orderBy(start, id_col)
+    own = F.filter(F.array_distinct(F.split(F.lower(content), r"\s+")), lambda w: (F.length(w) > 5) & ~w.isin(*COMMON_WORDS))
+    given = chunks.filter(F.col(doc).isNotNull()).select(doc, start, F.col(id_col).alias("id"), own.alias("words"))
+    paired = given.select("id", F.lead("id").over(order.orderBy(start, "id")).alias("next"), "words", F.lead("words").over(order.orderBy(start, "id")).alias("others"))
+    shared = F.slice(F.sort_array(F.array_intersect("words", "others")), 1, most)
+    return paired.select("id", "next", F.array_join(shared, " ").alias("shared")).filter("shared <> ''")

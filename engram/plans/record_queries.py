@@ -6,8 +6,8 @@ The SQL states its constants itself, so that a wrong one in the library shows.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.functions import crypto, paths
-from engram.operators import audit, integrity, merging, pairs, sections
+from engram.functions import crypto, paths, scoring
+from engram.operators import audit, integrity, merging, pairs, relations, sections
 from engram.plans.more_queries import ORACLE_SQL as _MORE
 from engram.plans.reference_queries import _pairs
 from engram.sources.tables import micros, table
@@ -280,3 +280,102 @@ def sealed_texts(spark: SparkSession, folder: str) -> DataFrame:
     return given.groupBy("source").agg(
         F.count("*").alias("documents"), F.sum(F.length(F.unbase64("secret"))).alias("sealed_bytes"), F.count_distinct("secret").alias("secrets"), F.count_if(back == F.col("text")).alias("restored"), F.count(broken).alias("opened_after_tampering"), F.count_if(shown).alias("left_readable")
     )
+
+
+@query(
+    """WITH t AS (SELECT doc_id, strftime(created_at, '%Y-%m-%d') AS day, strftime(created_at, '%H:%M:%S') AS clock, coalesce(source, 'none') AS place FROM documents WHERE created_at IS NOT NULL)
+    SELECT doc_id, 'memory:document:' || day || ':' || replace(clock, ':', '-') || ':' || place AS key, day || '|' || CASE WHEN clock LIKE '20:%' THEN replace(clock, ':', '-') ELSE clock END || '|' || place AS parts, day || '_' || clock || '_' || place AS file FROM t"""
+)
+def memory_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """Keys made of the documents' times, read back, and names of files."""
+    made = table(spark, folder, "documents").filter("created_at IS NOT NULL").select("doc_id", F.date_format("created_at", "yyyy-MM-dd").alias("day"), F.date_format("created_at", "HH:mm:ss").alias("clock"), F.coalesce("source", F.lit("none")).alias("place"))
+    keyed = made.withColumn("key", paths.key_of(F.lit("document"), F.col("day"), F.col("clock"), F.col("place")))
+    path = F.concat(F.lit(".."), F.col("day"), F.lit("/"), F.col("clock"), F.lit("\\"), F.col("place"))
+    return keyed.select("doc_id", "key", F.array_join(paths.parts_of(F.col("key")), "|").alias("parts"), paths.file_name(path).alias("file"))
+
+
+@query(
+    """SELECT doc_id, CASE WHEN regexp_matches(lower(text), 'secret|credential|auth') THEN 'secret' WHEN regexp_matches(lower(text), 'private|confidential') THEN 'confidential' WHEN regexp_matches(lower(text), 'internal|workspace') THEN 'internal' ELSE 'public' END AS class,
+    len(regexp_extract_all(text, '[A-Za-z0-9+/]{32,}')) > 0 AS sealed_part FROM documents WHERE text IS NOT NULL"""
+)
+def text_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents by words that mark what is kept secret, and whether some part looks encrypted."""
+    sealed = F.exists(F.regexp_extract_all("text", F.lit("[A-Za-z0-9+/]{32,}"), F.lit(0)), lambda v: paths.looks_sealed(v))
+    return table(spark, folder, "documents").filter("text IS NOT NULL").select("doc_id", paths.path_class(F.col("text")).alias("class"), sealed.alias("sealed_part"))
+
+
+@query(
+    """WITH d AS (SELECT doc_id, text, lang, source, owner_id, (coalesce(text, '') <> '')::INT + (coalesce(lang, '') <> '')::INT + (coalesce(owner_id, '') <> '')::INT AS filled FROM documents)
+    SELECT doc_id, round(least(1.0, filled / 3.0 * 0.4 + CASE WHEN length(coalesce(text, '')) BETWEEN 50 AND 5000 THEN 0.3 WHEN length(coalesce(text, '')) BETWEEN 10 AND 10000 THEN 0.15 ELSE 0 END + CASE WHEN lang IS NOT NULL THEN 0.15 ELSE 0 END + CASE WHEN source IS NOT NULL THEN 0.15 ELSE 0 END), 6) AS quality FROM d"""
+)
+def content_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of documents by filled fields, length, tags and source."""
+    quality = scoring.content_quality(("text", "lang", "owner_id"), F.col("text"), F.col("lang").isNotNull(), F.col("source").isNotNull())
+    return table(spark, folder, "documents").select("doc_id", F.round(quality, 6).alias("quality"))
+
+
+_NUMBERED = "regexp_replace(regexp_replace(regexp_replace(text, '(?m)^### ', '2.1.3. ', 'g'), '(?m)^## ', '2.1 ', 'g'), '(?m)^# ', '2. ', 'g')"
+
+
+@query(
+    f"""WITH l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines)))::INT AS nth FROM (SELECT doc_id, string_split({_NUMBERED}, chr(10)) AS lines FROM documents WHERE text IS NOT NULL))
+    SELECT doc_id, nth, CASE WHEN regexp_matches(line, '^\\d+\\.\\d+\\.\\d+\\.?\\s+(.+)$') THEN 3 WHEN regexp_matches(line, '^\\d+\\.\\d+\\.?\\s+(.+)$') THEN 2 WHEN regexp_matches(line, '^\\d+\\.\\s+(.+)$') THEN 1 END AS level, rtrim(regexp_extract(line, '^[\\d.]+\\s+(.+)$', 1), chr(13)) AS title FROM l WHERE level IS NOT NULL"""
+)
+def numbered_outline(spark: SparkSession, folder: str) -> DataFrame:
+    """Headings by number of documents whose headings were given numbers."""
+    text = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", r"(?m)^### ", "2.1.3. "), r"(?m)^## ", "2.1 "), r"(?m)^# ", "2. ")
+    given = table(spark, folder, "documents").filter("text IS NOT NULL").select("doc_id", text.alias("text"))
+    return sections.numbered_headings(given, "doc_id", "text")
+
+
+@query(
+    """SELECT doc_id, unnest([1, 1, 2, 2, 3]) AS level, unnest(['title', 'made', 'made.owner', 'made.place', 'made.place.source']) AS path FROM documents WHERE text IS NOT NULL AND owner_id IS NOT NULL AND source IS NOT NULL
+    UNION ALL SELECT doc_id, unnest([1, 1, 2, 2]) AS level, unnest(['title', 'made', 'made.owner', 'made.place']) AS path FROM documents WHERE text IS NOT NULL AND owner_id IS NOT NULL AND source IS NULL
+    UNION ALL SELECT doc_id, unnest([1, 1, 2, 3]) AS level, unnest(['title', 'made', 'made.place', 'made.place.source']) AS path FROM documents WHERE text IS NOT NULL AND owner_id IS NULL AND source IS NOT NULL
+    UNION ALL SELECT doc_id, unnest([1, 1, 2]) AS level, unnest(['title', 'made', 'made.place']) AS path FROM documents WHERE text IS NOT NULL AND owner_id IS NULL AND source IS NULL"""
+)
+def nested_outline(spark: SparkSession, folder: str) -> DataFrame:
+    """Keys of JSON records made of the documents, as sections; null fields have no key."""
+    record = F.to_json(F.struct(F.col("text").alias("title"), F.struct(F.col("owner_id").alias("owner"), F.struct("source").alias("place")).alias("made")))
+    given = table(spark, folder, "documents").filter("text IS NOT NULL").select("doc_id", record.alias("record"))
+    return sections.nested_sections(given, "doc_id", "record", 4)
+
+
+@query(
+    """WITH l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS turn FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL)),
+    m AS (SELECT doc_id, turn, substr(line, instr(line, ': ') + 2) AS content, row_number() OVER (PARTITION BY doc_id ORDER BY turn) AS nth FROM l WHERE regexp_matches(line, '^(user|assistant|system): '))
+    SELECT doc_id, count(*) AS messages, substr(string_agg(content, ' ' ORDER BY turn) FILTER (nth <= 3), 1, 200) AS preview FROM m GROUP BY doc_id"""
+)
+def chat_previews(spark: SparkSession, folder: str) -> DataFrame:
+    """Chats with the number of their messages and the beginning of the first three."""
+    said = relations.messages(table(spark, folder, "documents"), "doc_id", "text")
+    return relations.previews(said, "doc_id")
+
+
+@query(
+    """WITH c AS (SELECT DISTINCT id, doc_id, start_pos, content FROM chunks WHERE doc_id IS NOT NULL),
+    w AS (SELECT id, doc_id, start_pos, list_distinct(list_filter(regexp_split_to_array(lower(content), '\\s+'), lambda x: length(x) > 5)) AS words FROM c),
+    p AS (SELECT id, lead(id) OVER v AS next, words, lead(words) OVER v AS others FROM w WINDOW v AS (PARTITION BY doc_id ORDER BY start_pos NULLS FIRST, id NULLS FIRST)),
+    s AS (SELECT id, next, array_to_string(list_sort(list_intersect(words, others))[1:5], ' ') AS shared FROM p) SELECT id, next, shared FROM s WHERE shared <> ''"""
+)
+def shared_words(spark: SparkSession, folder: str) -> DataFrame:
+    """Longer words that each chunk shares with the one behind it."""
+    chunks = table(spark, folder, "chunks").select("id", "doc_id", "start_pos", "content").distinct()
+    return sections.shared_words(chunks, "doc_id", "start_pos", "id", "content")
+
+
+@query(
+    """WITH c AS (SELECT DISTINCT id, topic, size, nodes FROM memory_clusters WHERE id IS NOT NULL),
+    f AS (SELECT id, 'topic' AS field, topic AS value FROM c WHERE topic IS NOT NULL UNION ALL SELECT id, 'size', size::VARCHAR FROM c WHERE size IS NOT NULL UNION ALL SELECT id, 'tag:' || i, nodes[i + 1] FROM (SELECT id, nodes, unnest(range(len(nodes))) AS i FROM c WHERE nodes IS NOT NULL) WHERE nodes[i + 1] IS NOT NULL)
+    SELECT id, field, value FROM f"""
+)
+def flat_metadata(spark: SparkSession, folder: str) -> DataFrame:
+    """Clusters flattened to fields and values, a tag for each member."""
+    given = table(spark, folder, "memory_clusters").filter("id IS NOT NULL").select("id", "topic", "size", "nodes").distinct()
+    return merging.flattened(given, "id", ["topic", "size"], "nodes")
+
+
+@query(f"WITH {_E}, last AS (SELECT memory, max(us) AS us FROM e GROUP BY 1) SELECT e.memory, count(*) AS accesses, max(e.us) AS last_us FROM e JOIN last l ON l.memory = e.memory WHERE e.event_type = 'read' AND e.us > l.us - 30 * 86400000000 GROUP BY 1")
+def recent_accesses(spark: SparkSession, folder: str) -> DataFrame:
+    """Reads of each memory in the last 30 days before its last event."""
+    return merging.recent(_records(spark, folder), "memory", "us", 30, F.col("event_type") == "read")

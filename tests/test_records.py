@@ -99,3 +99,32 @@ def test_surroundings(spark):
     df = spark.createDataFrame([("a", 1, 0, "x" * 150 + " end "), ("b", 1, 10, None), ("c", 1, 20, " begin" + "y" * 200), ("d", None, 0, "q")], "id string, doc long, start int, content string")
     got = {r.id: (r.before, r.behind) for r in sections.surroundings(df, "doc", "start", "id", "content").collect()}
     assert got == {"a": (None, None), "b": ("x" * 95 + " end", "begin" + "y" * 94), "c": (None, None)}
+
+
+def test_keys_names_and_classes(spark):
+    df = spark.createDataFrame([("2025-01-02", "09:10:11.123", "a"), ("x", None, "a"), ("2025-01-02", "20:10:11", None)], "d string, t string, p string")
+    made = df.select(paths.key_of(F.lit("document"), F.col("d"), F.col("t"), F.col("p")).alias("k"))
+    assert [r.k for r in made.collect()] == ["memory:document:2025-01-02:09-10-11.123:a", "memory:document:x:a", "memory:document:2025-01-02:20-10-11"]
+    assert [r.v for r in made.select(paths.parts_of(F.col("k")).alias("v")).collect()] == [["2025-01-02", "09:10:11.123", "a"], ["x", "a"], ["2025-01-02", "20-10-11"]]
+    assert values(spark, ["a:b", "", None], paths.parts_of) == [None, None, None]
+    assert values(spark, ["../a\\b/c", "x" * 300, None], paths.file_name) == ["_a_b_c", "x" * 255, None]
+    assert values(spark, ["a/Secret", "my private x", "workspace", "else", None], paths.path_class) == ["secret", "confidential", "internal", "public", None]
+    assert values(spark, ["A" * 32, "a" * 31, "A" * 33 + "==", "0f" * 16, "has blank " * 5, "", None], paths.looks_sealed) == [True, False, True, True, False, False, None]
+
+
+def test_outlines_of_numbers_and_records(spark):
+    df = spark.createDataFrame([(1, "1. One\ntext\n1.1 Two\n1.1.1. Three\n1) no\n2.x no"), (2, None), (3, "")], "k long, t string")
+    assert rows(sections.numbered_headings(df, "k", "t")) == [(1, 0, 1, "One"), (1, 2, 2, "Two"), (1, 3, 3, "Three")]
+    df = spark.createDataFrame([(1, '{"a": {"b": {"c": 1}}, "d": [1]}'), (2, None), (3, "text"), (4, "{}"), (5, "[1]")], "k long, t string")
+    assert rows(sections.nested_sections(df, "k", "t")) == [(1, 1, "a"), (1, 1, "d"), (1, 2, "a.b"), (1, 3, "a.b.c")]
+    assert rows(sections.nested_sections(df, "k", "t", 1)) == [(1, 1, "a"), (1, 1, "d")]
+
+
+def test_shared_words_flat_fields_and_recent(spark):
+    df = spark.createDataFrame([("a", 1, 0, "Vector STORES hold vectors"), ("b", 1, 5, "the vectors hold stores"), ("c", 1, 9, None), ("d", None, 0, "vectors")], "id string, doc long, start int, content string")
+    assert rows(sections.shared_words(df, "doc", "start", "id", "content")) == [("a", "b", "stores vectors")]
+    df = spark.createDataFrame([(1, "t", None, ["x", None, "y"]), (2, None, 3, None)], "id long, topic string, size int, nodes array<string>")
+    assert rows(merging.flattened(df, "id", ["topic", "size"], "nodes")) == [(1, "tag:0", "x"), (1, "tag:2", "y"), (1, "topic", "t"), (2, "size", "3")]
+    day = 86_400_000_000
+    df = spark.createDataFrame([("m", 0, "read"), ("m", 30 * day, "write"), ("m", day, "read"), ("n", 5, "write")], "m string, us long, kind string")
+    assert rows(merging.recent(df, "m", "us", 30, F.col("kind") == "read")) == [("m", 1, day)]
