@@ -100,6 +100,14 @@ def nearest(df: DataFrame, key: str, vector: str, queries: DataFrame, k: int) ->
     return scored.withColumn("place", place).filter(F.col("place") <= k).select("query", F.col("key").alias(key), "distance")
 
 
+def near_duplicates(df: DataFrame, key: str, vector: str, queries: DataFrame, least: float = 0.95, k: int = 5) -> DataFrame:
+    """For each query vector (see nearest; `query` is the key of its own row) at most k other rows of a cosine of `least` or
+    more: query, key, similarity; ties by key."""
+    near = nearest(df, key, vector, queries, k + 1).filter((F.col(key) != F.col("query")) & (F.col("distance") <= 1 - least))
+    place = F.row_number().over(Window.partitionBy("query").orderBy("distance", key))
+    return near.withColumn("place", place).filter(F.col("place") <= k).select("query", key, (1 - F.col("distance")).alias("similarity"))
+
+
 def neighbours_in_time(df: DataFrame, key: str, us: str, within_us: int, parts: int = 60) -> DataFrame:
     """For each row the one before it in time, if it is within that long: key, before, proximity (1 - gap / within).
 

@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engram.functions import crypto, paths, scoring
-from engram.operators import audit, integrity, merging, pairs, relations, sections
+from engram.operators import audit, integrity, merging, pairs, relations, search, sections
 from engram.plans.more_queries import ORACLE_SQL as _MORE
-from engram.plans.reference_queries import _pairs
+from engram.plans.reference_queries import _EACH, _pairs, _wanted
 from engram.sources.tables import micros, table
 
 QUERIES = {}
@@ -379,3 +379,14 @@ def flat_metadata(spark: SparkSession, folder: str) -> DataFrame:
 def recent_accesses(spark: SparkSession, folder: str) -> DataFrame:
     """Reads of each memory in the last 30 days before its last event."""
     return merging.recent(_records(spark, folder), "memory", "us", 30, F.col("event_type") == "read")
+
+
+@query(
+    _EACH + """, s AS (SELECT query_id, vec_id, array_cosine_similarity(e, wanted) AS similarity FROM v, q WHERE vec_id <> query_id)
+    SELECT query_id, vec_id, round(similarity, 6) AS similarity FROM s WHERE similarity >= 0.25 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s.similarity DESC, vec_id) <= 5"""
+)
+def near_duplicate_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """At most five other vectors that are as good as the same as each of the query set; in these tables 0.25 is as near as any are."""
+    vectors = table(spark, folder, "embeddings")
+    near = search.near_duplicates(vectors, "vec_id", "embedding", _wanted(vectors), 0.25)
+    return near.select(F.col("query").alias("query_id"), "vec_id", F.round("similarity", 6).alias("similarity"))

@@ -30,3 +30,12 @@ def test_neighbours_in_time_against_brute_force(spark):
         ordered = sorted((u, i) for i, u in rows if u is not None)
         want = {(i, j, round(1 - (u - v) / within, 9)) for (v, j), (u, i) in zip(ordered, ordered[1:]) if u - v <= within}
         assert got == want
+
+
+def test_near_duplicates(spark):
+    from engram.operators.search import near_duplicates
+
+    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [1.0, 0.01]), (4, [0.0, 1.0]), (5, None), (6, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "id int, v array<float>")
+    got = near_duplicates(df, "id", "v", df.filter("id IN (1, 4)").selectExpr("id AS query", "v AS wanted"), 0.95, 2).collect()
+    assert {(r.query, r.id) for r in got} == {(1, 2), (1, 6)} and all(r.similarity > 0.99 for r in got)
