@@ -86,3 +86,36 @@ def test_the_exact_way_is_exact(spark):
     assert got == exact(vectors, 10)
     less = {(r.id, r.other) for r in top_similar(df, "id", "v", 10, 8, look=50, few=1, rerank=20).collect()}
     assert len(less & got) < len(got)
+
+
+def test_recall_where_cells_are_many(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "CROWD", 16)  # as many cells for each vector as in a collection of millions
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(670, 64))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    vectors = {f"v{k:04d}": centres[k % 670] + 0.35 * rng.normal(size=64) / 8 for k in range(8040)}
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in vectors.items()], "id string, v array<float>")
+    got = {(r.id, r.other) for r in top_similar(df, "id", "v", 10, 64, look=16, few=5).collect()}
+    want = exact(vectors, 10)
+    assert len(want & got) / len(want) > 0.995
+
+
+def test_of_many_equal_vectors_the_smallest_ids_come_out(spark):
+    rng = np.random.default_rng(6)
+    rows = [(f"v{k:04d}", [1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0, 8.0]) for k in rng.permutation(1400)]
+    rows += [(f"w{k:04d}", [float(x) for x in rng.normal(size=8)]) for k in range(200)]
+    _, got = found(spark, rows, k=3)
+    for i, want in (("v0000", ["v0001", "v0002", "v0003"]), ("v0002", ["v0000", "v0001", "v0003"]), ("v1399", ["v0000", "v0001", "v0002"])):
+        assert [got[i, other] for other in want] == [1, 2, 3]
+
+
+def test_first_codes_that_are_fitted_apart(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "SAMPLE", 1000)
+    monkeypatch.setattr(neighbours, "FITTED", 500)
+    monkeypatch.setattr(neighbours.Places, "FLAT", 16)
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(150, 8))
+    vectors = {f"v{k:04d}": centres[k % 150] + 0.1 * rng.normal(size=8) for k in range(3000)}
+    _, got = found(spark, [(i, [float(x) for x in v]) for i, v in vectors.items()])
+    want = exact(vectors, 10)
+    assert len(want & set(got)) / len(want) > 0.995
