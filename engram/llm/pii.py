@@ -26,7 +26,7 @@ KINDS = ("email", "phone", "id_number", "address", "name")
 N_TAGS = 1 + 2 * len(KINDS)
 WINDOW, OVERLAP = 256, 64
 #: Windows scored together; steps whose states are held at a time; characters whose scores are in memory at a time.
-BATCH, STEPS, HELD = 256, 16, 1_000_000
+BATCH, STEPS, HELD = 128, 16, 1_000_000
 #: Score of what a tag sequence must not do.
 NEVER = -1e4
 
@@ -81,9 +81,9 @@ class Tagger:
         self.w = w = {k: np.array(v, np.float32) for k, v in weights.items()}
         size = self.size = w["wh"].shape[1]
         wx, wh = w["wx"].reshape(2, -1, 4, size).copy(), w["wh"].reshape(2, size, 4, size).copy()
-        # clip(v, 0, 1) is |v/2| - |v/2 - 1/2| + 1/2, and v/2 is computed at once
-        wx[:, :, :3] = wx[:, :, :3] / 8 + 0.25
-        wh[:, :, :3] /= 8
+        # x / 4 + 1/2 of the gates is computed at once
+        wx[:, :, :3] = wx[:, :, :3] / 4 + 0.5
+        wh[:, :, :3] /= 4
         # before a shorter window begins, backwards, all gates are shut and the state stays zero
         shut = np.zeros((1, 4, size), np.float32)
         shut[:, :3] = -1e4
@@ -120,19 +120,15 @@ class Tagger:
         states = np.empty((STEPS, 2, n, size), np.float32)
         both = np.empty((2, longest, n, N_TAGS), np.float32)
         z, seen = np.empty((4, 2, n, size), np.float32), np.empty((4, 2 * n, size), np.float32)
-        flat, halves, new, gates = z.reshape(4, 2 * n, size), z[:3], z[3], np.empty((3, 2, n, size), np.float32)
-        into, keep, give = gates
+        flat, gates, (into, keep, give, new) = z.reshape(4, 2 * n, size), z[:3], z
+        takes = [w.take for w in self.wx]
         u, d = np.empty_like(h), np.empty_like(h)
         for t in range(longest):
             np.matmul(h, self.wh, out=z)
-            for k in range(4):
-                np.take(self.wx[k], x[t], axis=0, out=seen[k], mode="clip")
+            for take, to in zip(takes, seen):
+                take(x[t], 0, to, "clip")
             flat += seen
-            np.abs(halves, out=gates)
-            halves -= 0.5
-            np.abs(halves, out=halves)
-            gates -= halves
-            gates += 0.5
+            np.clip(gates, 0, 1, out=gates)
             np.abs(new, out=d)
             d += 1
             np.divide(new, d, out=u)
@@ -155,9 +151,9 @@ class Tagger:
     def sure(self, e: np.ndarray) -> np.ndarray:
         """Characters that no best path tags: every row of mentions over them would lose more by its scores than its transitions
         can win."""
-        most = functools.partial(functools.reduce, np.maximum)
-        total = np.cumsum((most(e[:, k] for k in range(1, N_TAGS)) - e[:, 0]).astype(np.float64) + self.step)
-        begun = most(e[:, 1 + 2 * k] + self.begin[k] for k in range(len(KINDS))) - e[:, 0]
+        e = np.ascontiguousarray(e.T)
+        total = np.cumsum((e[1:].max(0) - e[0]).astype(np.float64) + self.step)
+        begun = (e[1::2] + self.begin[:, None]).max(0) - e[0]
         # the best row that has begun and goes on to here, and what it can win behind this character
         till = total + np.maximum.accumulate(begun - total)
         behind = np.maximum.accumulate(total[::-1])[::-1] - total
@@ -173,8 +169,8 @@ class Tagger:
         order = np.argsort(sizes, kind="stable")
         trans, start = self.w["trans"], self.w["start"]
         back = np.ascontiguousarray(trans.T)
-        for at in range(0, len(order), 2 * BATCH):
-            part = order[at : at + 2 * BATCH]
+        for at in range(0, len(order), 4 * BATCH):
+            part = order[at : at + 4 * BATCH]
             lengths = sizes[part]
             longest = int(lengths[-1])
             steps = np.arange(longest)[:, None]

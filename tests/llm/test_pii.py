@@ -155,3 +155,23 @@ def test_templates_that_training_left_out():
     assert all(min(got[k]) > least for k, least in (("email", 0.95), ("name", 0.85), ("address", 0.9), ("phone", 0.7), ("id_number", 0.55)))
     known, held = pii_invented.templates(False), pii_invented.templates(True)
     assert not set(known[0]) & set(held[0]) and not set(known[1]) & set(held[1])
+
+
+def test_scores_are_those_of_the_plain_network():
+    rng = np.random.default_rng(9)
+    with np.load(pii.__file__.replace("pii.py", "pii_weights.npz")) as f:
+        w = {k: f[k].astype(np.float64) for k in f.files}
+    size = w["wh"].shape[1]
+    seqs = [rng.integers(0, pii.N_CLASSES, n) for n in (3, 40, 40, 17)]
+    got = pii.Tagger.load().scores(seqs)
+    for row, seq in enumerate(seqs):
+        want = np.tile(w["bias"], (len(seq), 1))
+        for way in (0, 1):
+            h, c = np.zeros(size), np.zeros(size)
+            for t in range(len(seq))[:: -1 if way else 1]:
+                z = (w["wx"].reshape(2, -1, 4 * size)[way, seq[t]] + h @ w["wh"].reshape(2, size, 4 * size)[way]).reshape(4, size)
+                into, keep, give = np.clip(z[:3] / 4 + 0.5, 0, 1)
+                c = keep * c + into * z[3] / (1 + np.abs(z[3]))
+                h = give * c / (1 + np.abs(c))
+                want[t] += h @ w["out"].reshape(2, size, -1)[way]
+        assert np.abs(got[: len(seq), row] - want).max() < 1e-3
