@@ -330,8 +330,9 @@ def top_similar(df: DataFrame, id_col: str, vector: str, k: int = 10, size: int
         if tables:
             codes = np.frombuffer(b"".join(cell["codes"].iloc[owners]), np.uint8).reshape(len(owners), -1)
             norms = np.maximum(cell["norm"].to_numpy()[owners], 1e-6)
-        for at in range(0, len(lookers), 512):
-            part, own = lookers[at : at + 512], mine[at : at + 512]
+        some = 64 if tables else 128  # what is held at a time stays in the caches
+        for at in range(0, len(lookers), some):
+            part, own = lookers[at : at + some], mine[at : at + some]
             q = x[part]
             if tables:
                 # tables by word, so that adding up a stage copies whole rows of lookers
