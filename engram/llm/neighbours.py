@@ -212,7 +212,8 @@ def places(units: DataFrame, sample: np.ndarray, n: int, books: np.ndarray, matr
                 yield pd.DataFrame({"c1": c1, "part": salts(batch["id"]) % parts[c1], "vec": [row.tobytes() for row in x]})
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
-        x = np.frombuffer(b"".join(group["vec"]), np.float32).reshape(len(group), -1)
+        # rows come in any order, and the same vectors must give the same centres
+        x = np.frombuffer(b"".join(sorted(group["vec"])), np.float32).reshape(len(group), -1)
         centres, held = fit_centres(x, max(1, round(len(x) * cells / (share * n))))
         return pd.DataFrame({"c1": group["c1"].iloc[0], "n": held, "centre": [row.tobytes() for row in centres]})
 
